@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, token_store
+from . import chat, decontaminate, license_scan, token_store, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,10 +75,37 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"), license_scan.templates(spark), threshold=0.8)
+    return found.select("doc_id", "license_id", "n_units", F.round("dice", 9).alias("dice"))
+
+
+_NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.NOTICES)
+_PLAIN = r"trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
+OP8_SQL = f"""
+WITH t AS (SELECT license_id, string_split({_PLAIN.format("text")}, ' ') AS w FROM (VALUES {_NOTICES}) AS v(license_id, text)),
+d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+u AS (
+  SELECT doc_id, r, 0 AS unit, text AS part FROM d WHERE contains(text, chr(10))
+  UNION ALL SELECT doc_id, r, unnest(range(1, len(l) + 1)) AS unit, unnest(l) AS part FROM (SELECT doc_id, r, string_split(text, chr(10)) AS l FROM d)
+), s AS (SELECT doc_id, r, unit, string_split(p, ' ') AS w FROM (SELECT doc_id, r, unit, {_PLAIN.format("part")} AS p FROM u) WHERE p <> ''),
+k AS (SELECT doc_id, r, unit, w, greatest(len(w) - 1, 1) AS n FROM s WHERE len(w) <= 60),
+sg AS (SELECT doc_id, r, unit, n, g, count(*) AS c FROM (SELECT doc_id, r, unit, n, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM k) GROUP BY ALL),
+tg AS (SELECT license_id, greatest(len(any_value(w)) - 1, 1) AS m, g, count(*) AS c FROM (SELECT license_id, w, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM t) GROUP BY license_id, g, w),
+m AS (SELECT doc_id, r, unit, license_id, 2 * sum(least(sg.c, tg.c)) / (n + m)::DOUBLE AS dice FROM sg JOIN tg USING (g) GROUP BY doc_id, r, unit, license_id, n, m)
+SELECT doc_id, license_id, count(*) AS n_units, round(max(dice), 9) AS dice FROM m WHERE dice >= 0.8 GROUP BY doc_id, license_id
+"""
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.write_tokens(table(spark, sf_dir, "documents"), end_id=0)
     return token_store.token_index(spark, path)
 
 
-QUERIES: dict[str, Query] = {"op1_chat_format": op1_chat_format, "op6_decontamination": op6_decontamination, "op10_token_output": op10_token_output}
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op6_decontamination": OP6_SQL}
+QUERIES: dict[str, Query] = {"op1_chat_format": op1_chat_format, "op6_decontamination": op6_decontamination, "op8_license_scan": op8_license_scan, "op9_toxicity": op9_toxicity, "op10_token_output": op10_token_output}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op6_decontamination": OP6_SQL, "op8_license_scan": OP8_SQL}
