@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, license_scan, token_store, toxicity
+from . import chat, decontaminate, license_scan, mixing, quality, token_store, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,14 @@ FROM o GROUP BY conv_id
 """
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "kept")
+
+
+OP3_SQL = mixing.duckdb_sql()
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.match_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -80,6 +88,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "license_id", "n_units", F.round("dice", 9).alias("dice"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    network = quality.fit(docs, table(spark, sf_dir, "labels"), where=~held_out)
+    return quality.score(docs, network).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 _NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.NOTICES)
 _PLAIN = r"trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
 OP8_SQL = f"""
@@ -107,5 +122,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_index(spark, path)
 
 
-QUERIES: dict[str, Query] = {"op1_chat_format": op1_chat_format, "op6_decontamination": op6_decontamination, "op8_license_scan": op8_license_scan, "op9_toxicity": op9_toxicity, "op10_token_output": op10_token_output}
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op6_decontamination": OP6_SQL, "op8_license_scan": OP8_SQL}
+QUERIES: dict[str, Query] = {"op1_chat_format": op1_chat_format, "op3_source_mixing": op3_source_mixing, "op6_decontamination": op6_decontamination, "op7_quality_classifier": op7_quality_classifier, "op8_license_scan": op8_license_scan, "op9_toxicity": op9_toxicity, "op10_token_output": op10_token_output}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op3_source_mixing": OP3_SQL, "op6_decontamination": OP6_SQL, "op8_license_scan": OP8_SQL}

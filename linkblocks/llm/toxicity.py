@@ -90,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     return fit_arrays(label, np.repeat(np.arange(len(label)), sizes), flat, counts)
 
 
-def fit_arrays(label: np.ndarray, row: np.ndarray, word: np.ndarray, count: np.ndarray, rounds: int = 400) -> Model:
+def fit_arrays(label: np.ndarray, row: np.ndarray, word: np.ndarray, count: np.ndarray, rounds: int = 800) -> Model:
     """The fit itself, on (row, word, count) triples; deterministic."""
     toxic, clean = int(label.sum()), int((1 - label).sum())
     nothing = Model(np.empty(0, np.uint64), np.empty(0), np.full(GRADES, 20.0))
@@ -125,7 +125,7 @@ def fit_arrays(label: np.ndarray, row: np.ndarray, word: np.ndarray, count: np.n
         z = np.bincount(r, w[f] * x, len(label))
         # the cumulative logits' loss: each threshold is a logistic regression on the same w.x
         error = (1 / (1 + np.exp(np.clip(theta[None, :] - z[:, None], -60, 60))) - target) * scale[:, None] / len(label)
-        gradient = np.concatenate([np.bincount(f, error.sum(1)[r] * x, len(best)) + 2e-4 * w, -error.sum(0)])
+        gradient = np.concatenate([np.bincount(f, error.sum(1)[r] * x, len(best)) + 2e-5 * w, -error.sum(0)])
         moments[0] = 0.9 * moments[0] + 0.1 * gradient
         moments[1] = 0.999 * moments[1] + 0.001 * gradient**2
         move = 0.05 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
