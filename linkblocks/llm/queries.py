@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, license_scan, mixing, quality, token_store, toxicity
+from . import chat, decontaminate, license_scan, mixing, near_dedup, quality, token_store, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = mixing.duckdb_sql()
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.match_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -122,5 +126,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_index(spark, path)
 
 
-QUERIES: dict[str, Query] = {"op1_chat_format": op1_chat_format, "op3_source_mixing": op3_source_mixing, "op6_decontamination": op6_decontamination, "op7_quality_classifier": op7_quality_classifier, "op8_license_scan": op8_license_scan, "op9_toxicity": op9_toxicity, "op10_token_output": op10_token_output}
+QUERIES: dict[str, Query] = {"op1_chat_format": op1_chat_format, "op3_source_mixing": op3_source_mixing, "op5_near_dedup": op5_near_dedup, "op6_decontamination": op6_decontamination, "op7_quality_classifier": op7_quality_classifier, "op8_license_scan": op8_license_scan, "op9_toxicity": op9_toxicity, "op10_token_output": op10_token_output}
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op3_source_mixing": OP3_SQL, "op6_decontamination": OP6_SQL, "op8_license_scan": OP8_SQL}

@@ -24,10 +24,11 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit integers (multiply and xor-shift)."""
     x = x ^ (x >> U(32))
-    x = x * U(0xD6E8FEB86659FD93)
-    x = x ^ (x >> U(32))
-    x = x * U(0xD6E8FEB86659FD93)
-    return x ^ (x >> U(32))
+    x *= U(0xD6E8FEB86659FD93)
+    x ^= x >> U(32)
+    x *= U(0xD6E8FEB86659FD93)
+    x ^= x >> U(32)
+    return x
 
 
 @lru_cache(maxsize=2)
