@@ -100,7 +100,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.NOTICES)
-_PLAIN = r"trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
+_PLAIN = r"trim(regexp_replace(lower({0}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
 OP8_SQL = f"""
 WITH t AS (SELECT license_id, string_split({_PLAIN.format("text")}, ' ') AS w FROM (VALUES {_NOTICES}) AS v(license_id, text)),
 d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
