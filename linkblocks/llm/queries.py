@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, license_scan, mixing, near_dedup, quality, token_store, toxicity
+from . import chat, decontaminate, license_scan, lm_score, mixing, near_dedup, quality, search, token_store, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", both), (-1, 1, "assistant", both)], "conv_id bigint, turn bigint, role string, text string")
@@ -50,6 +53,11 @@ FROM o GROUP BY conv_id
 """
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.train(docs, lm_score.corpus_vocabulary(docs)))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "kept")
@@ -58,6 +66,27 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = mixing.duckdb_sql()
 
 
+def op4_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search.top_k(docs, asked, k=10)
+
+
+OP4_SQL = rf"""
+WITH w AS (SELECT doc_id, unnest({_WORDS}) AS t FROM documents WHERE doc_id IS NOT NULL),
+n AS (SELECT count(*) AS docs, (SELECT count(*) FROM w) / count(*) AS mean FROM documents WHERE doc_id IS NOT NULL),
+tf AS (SELECT doc_id, t, count(*) AS c FROM w GROUP BY ALL),
+dl AS (SELECT doc_id, sum(c) AS l FROM tf GROUP BY doc_id),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+q AS (SELECT doc_id AS query_id, t, c * ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS w FROM tf JOIN df USING (t), n WHERE doc_id % 50 = 0),
+s AS (
+  SELECT query_id, doc_id, round(sum(w * (c * 2.2::DOUBLE / (c + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean)))), 6) AS score
+  FROM q JOIN tf USING (t) JOIN dl USING (doc_id), n GROUP BY query_id, doc_id
+), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,7 +96,6 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP6_SQL = rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -126,5 +154,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_index(spark, path)
 
 
-QUERIES: dict[str, Query] = {"op1_chat_format": op1_chat_format, "op3_source_mixing": op3_source_mixing, "op5_near_dedup": op5_near_dedup, "op6_decontamination": op6_decontamination, "op7_quality_classifier": op7_quality_classifier, "op8_license_scan": op8_license_scan, "op9_toxicity": op9_toxicity, "op10_token_output": op10_token_output}
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op3_source_mixing": OP3_SQL, "op6_decontamination": OP6_SQL, "op8_license_scan": OP8_SQL}
+QUERIES: dict[str, Query] = {"op1_chat_format": op1_chat_format, "op2_lm_score": op2_lm_score, "op3_source_mixing": op3_source_mixing, "op4_bm25_search": op4_bm25_search, "op5_near_dedup": op5_near_dedup, "op6_decontamination": op6_decontamination, "op7_quality_classifier": op7_quality_classifier, "op8_license_scan": op8_license_scan, "op9_toxicity": op9_toxicity, "op10_token_output": op10_token_output}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op3_source_mixing": OP3_SQL, "op4_bm25_search": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_license_scan": OP8_SQL}
