@@ -11,6 +11,7 @@ from ..functions import scalar
 from ..operators import compare, covariance, diagnostics, intervals, local_search, maps, metric, signal, vector
 from . import fixtures as fx
 from .fixtures import sql
+from .scratch import materialize, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -226,36 +227,56 @@ def agg_11(s, d):
 # ---- correlations, the vector, the signal
 
 
+def _make_norm(s, d):
+    return covariance.normalized(fx.partitioned_cov(s, d), fx.partitions(s, d), True)
+
+
+def _make_vector(s, d):
+    return vector.to_vector(fx.partitioned_cov(s, d), fx.partitions(s, d))
+
+
+def _make_breakpoints(s, d):
+    low = signal.minima_positions(signal.smooth(_vector(s, d), [WIDTH]))
+    return low.withColumn("idx", (F.row_number().over(Window.partitionBy("chrom").orderBy("locus")) - 1).cast("bigint")).select("chrom", "idx", "locus")
+
+
+# what later stages read: each is written once an application, as the stages of a run hand over files
+
+
 def _norm(s, d, keep_diagonal=True):
-    return covariance.normalized(fx.partitioned_cov(s, d), fx.partitions(s, d), keep_diagonal)
+    rows = stage(s, d, "correlations", lambda: _make_norm(s, d))
+    return rows if keep_diagonal else rows.filter("lo < hi")
 
 
 def _loci(s, d):
-    return covariance.owned(fx.partitioned_cov(s, d), fx.partitions(s, d)).select("chrom", F.col("lo").alias("pos")).distinct()
+    return stage(s, d, "loci", lambda: covariance.owned(fx.partitioned_cov(s, d), fx.partitions(s, d)).select("chrom", F.col("lo").alias("pos")).distinct())
 
 
 def _vector(s, d):
-    return vector.to_vector(fx.partitioned_cov(s, d), fx.partitions(s, d))
+    return stage(s, d, "vector", lambda: _make_vector(s, d))
 
 
 def _breakpoints(s, d):
-    low = signal.minima_positions(signal.smooth(_vector(s, d), [WIDTH]))
-    return low.withColumn("idx", (F.row_number().over(Window.partitionBy("chrom").orderBy("locus")) - 1).cast("bigint")).select("chrom", "idx", "locus")
+    return stage(s, d, "breakpoints", lambda: _make_breakpoints(s, d))
+
+
+def _totals(s, d):
+    return stage(s, d, "metric", lambda: metric.metric(_norm(s, d, False), _loci(s, d), _breakpoints(s, d)))
 
 
 @query("rel_03_correlations", "SELECT chrom, lo, hi, round(r2, 9) AS r2 FROM r2 WHERE lo < hi")
 def rel_03(s, d):
-    return _norm(s, d, False).select("chrom", "lo", "hi", _r("r2"))
+    return _make_norm(s, d).filter("lo < hi").select("chrom", "lo", "hi", _r("r2"))
 
 
 @query("mat_04_normalized", "SELECT chrom, lo, hi, round(r2, 9) AS r2 FROM r2")
 def mat_04(s, d):
-    return _norm(s, d).select("chrom", "lo", "hi", _r("r2"))
+    return _make_norm(s, d).select("chrom", "lo", "hi", _r("r2"))
 
 
 @query("agg_05_vector", "SELECT chrom, pos, round(value, 6) AS value FROM vec")
 def agg_05(s, d):
-    return _vector(s, d).select("chrom", "pos", _r("value", 6))
+    return _make_vector(s, d).select("chrom", "pos", _r("value", 6))
 
 
 @query("agg_05_lowest", "SELECT chrom, pos, round(value, 6) AS value FROM vec ORDER BY value, pos LIMIT 10")
@@ -321,7 +342,7 @@ def win_09(s, d):
 
 @query("srch_04_width_search")
 def srch_04(s, d):
-    v = _vector(s, d).persist()
+    v = _vector(s, d)
     targets = {"c1": 9}
     found = signal.search_widths(v, targets, start=WIDTH, delta=20, step=4)
     return s.createDataFrame([(c, targets[c], w) for c, w in found.items()], "chrom string, target int, width int")
@@ -378,9 +399,8 @@ def win_06(s, d):
 
 
 def _curves(s, d):
-    bp, n, loci = _breakpoints(s, d).persist(), _norm(s, d).persist(), _loci(s, d).persist()
-    totals = metric.metric(n.filter("lo < hi"), loci, bp)
-    return local_search.curves(local_search.valid(local_search.windows(bp, _limits(s, d))), n, loci, totals)
+    spans = local_search.valid(local_search.windows(_breakpoints(s, d), _limits(s, d)))
+    return local_search.curves(spans, _norm(s, d), _loci(s, d), _totals(s, d))
 
 
 @query("win_02_03_curves", "SELECT chrom, idx, pos, side, round(sum, 6) AS sum, n::DOUBLE AS n FROM cur", _CURVES)
@@ -394,8 +414,7 @@ def win_14(s, d):
 
 
 def _refined(s, d):
-    bp, n, loci = _breakpoints(s, d).persist(), _norm(s, d).persist(), _loci(s, d).persist()
-    return local_search.search(bp, _limits(s, d), n, loci, metric.metric(n.filter("lo < hi"), loci, bp))
+    return local_search.search(_breakpoints(s, d), _limits(s, d), _norm(s, d), _loci(s, d), _totals(s, d))
 
 
 _BEST = """,
@@ -411,7 +430,7 @@ def ls_03(s, d):
 
 @query("agg_23_run_summary", "SELECT chrom, count(*) AS n_raw, count(*) AS n_refined, count(*) FILTER (locus = refined) AS unchanged FROM ref GROUP BY chrom", _CURVES + _BEST)
 def agg_23(s, d):
-    r = _refined(s, d)
+    r = materialize(_refined(s, d), "refined")
     return compare.breakpoint_run_summary(r.select("chrom", "idx", "locus"), r.select("chrom", "idx", F.col("refined").alias("locus")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import covariance, maps
+from .scratch import stage
 
 N_INDIVIDUALS, N_HAPLOTYPES, CUTOFF, WINDOW = 32, 64, 1e-7, 100
 
@@ -41,11 +42,12 @@ def gmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maps.partition_chromosome(gmap(spark, sf_dir), N_INDIVIDUALS, window=WINDOW)
+    return stage(spark, sf_dir, "partitions", lambda: maps.partition_chromosome(gmap(spark, sf_dir), N_INDIVIDUALS, window=WINDOW))
 
 
 def partitioned_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return covariance.by_partition(cov(spark, sf_dir), partitions(spark, sf_dir))
+    """The covariance store: made once, as later stages read it from disk."""
+    return stage(spark, sf_dir, "covariance", lambda: covariance.by_partition(cov(spark, sf_dir), partitions(spark, sf_dir)))
 
 
 def map_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +84,7 @@ def blocks_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping intervals in time: from each event as many seconds as its value says."""
     e = table(spark, sf_dir, "events")
-    start = F.unix_seconds(F.col("ts").cast("timestamp"))
+    start = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("bigint")
     return e.select(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("chrom"), start.alias("start"), (start + F.floor(F.abs("value") * 60.0) + 1).alias("stop"))
 
 
@@ -161,7 +163,7 @@ ba AS MATERIALIZED (SELECT * FROM (SELECT chrom, pos AS "start", lead(pos) OVER
 bb AS MATERIALIZED (SELECT * FROM (SELECT chrom, pos AS "start", lead(pos) OVER (PARTITION BY chrom ORDER BY pos) AS stop FROM pb) WHERE stop IS NOT NULL),
 xa AS MATERIALIZED (SELECT chrom, "start" AS pos FROM ba UNION SELECT chrom, stop FROM ba),
 xb AS MATERIALIZED (SELECT chrom, "start" AS pos FROM bb UNION SELECT chrom, stop FROM bb),
-ivs AS MATERIALIZED (SELECT 'u' || (user_id % 20) AS chrom, epoch(ts)::BIGINT AS "start", epoch(ts)::BIGINT + floor(abs(value) * 60)::BIGINT + 1 AS stop FROM events),
+ivs AS MATERIALIZED (SELECT 'u' || (user_id % 20) AS chrom, floor(epoch(ts))::BIGINT AS "start", floor(epoch(ts))::BIGINT + floor(abs(value) * 60)::BIGINT + 1 AS stop FROM events),
 merged AS MATERIALIZED (
   SELECT chrom, min("start") AS "start", max(stop) AS stop FROM (SELECT *, sum(n) OVER (PARTITION BY chrom ORDER BY "start", stop ROWS UNBOUNDED PRECEDING) AS g FROM (
     SELECT *, CASE WHEN "start" <= max(stop) OVER (PARTITION BY chrom ORDER BY "start", stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM ivs)) GROUP BY chrom, g

@@ -12,6 +12,7 @@ from ..functions import scalar
 from ..operators import covariance, intervals, local_search, maps, metric, signal, vector
 from ..sources import sinks, text
 from ..sources.store import CovarianceStore
+from .scratch import materialize
 
 SUBSETS = ("fourier", "fourier_ls", "uniform", "uniform_ls")
 NEEDS = {"fourier_ls": "fourier", "uniform_ls": "uniform"}
@@ -38,7 +39,7 @@ def find_breakpoints(cov: DataFrame, partitions: DataFrame, n_bpoints: int | Non
         raise ValueError(f"unknown subsets: {', '.join(sorted(unknown))}")
     wanted = {*subsets, *(NEEDS[s] for s in subsets if s in NEEDS)}
     spark = cov.sparkSession
-    whole = (vector_frame if vector_frame is not None else vector.to_vector(cov, partitions)).persist()
+    whole = materialize(vector_frame if vector_frame is not None else vector.to_vector(cov, partitions), "vector")
     inside = whole
     if first is not None:
         inside = inside.filter(F.col("pos") >= first)
@@ -55,23 +56,24 @@ def find_breakpoints(cov: DataFrame, partitions: DataFrame, n_bpoints: int | Non
     if found is None:
         found = spark.createDataFrame([], "chrom string, width int, locus bigint")
     numbered = Window.partitionBy("chrom").orderBy("locus")
-    sets = {"fourier": found.select("chrom", (F.row_number().over(numbered) - 1).cast("bigint").alias("idx"), "locus").persist()}
+    sets = {"fourier": found.select("chrom", (F.row_number().over(numbered) - 1).cast("bigint").alias("idx"), "locus")}
+    sets["fourier"] = materialize(sets["fourier"], "fourier")
     if "uniform" in wanted:
         counts = sets["fourier"].groupBy("chrom").agg(F.count(F.lit(1)).alias("k"))
-        sets["uniform"] = signal.uniform_breakpoints(whole, counts).select("chrom", F.col("idx").cast("bigint").alias("idx"), "locus").persist()
+        sets["uniform"] = materialize(signal.uniform_breakpoints(whole, counts).select("chrom", F.col("idx").cast("bigint").alias("idx"), "locus"), "uniform")
     mine = covariance.owned(cov, partitions, first, last)
-    pairs = covariance.normalized(cov, partitions, keep_diagonal=True).persist()
-    loci = mine.select("chrom", F.col("lo").alias("pos")).distinct().persist()
+    pairs = materialize(covariance.normalized(cov, partitions, keep_diagonal=True), "correlations")
+    loci = materialize(mine.select("chrom", F.col("lo").alias("pos")).distinct(), "loci")
     limits = vector.default_range(partitions).select("chrom", (F.lit(first) if first is not None else F.col("snp_first")).alias("snp_first"), (F.lit(last) if last is not None else F.col("snp_last")).alias("snp_last"), F.col("snp_first").alias("range_start"), F.col("snp_last").alias("range_end"))
     off = pairs.filter("lo < hi")
     metrics = []
     for name in ("fourier", "uniform"):
         if name not in wanted:
             continue
-        raw = metric.metric(off, loci, sets[name]).persist()
+        raw = materialize(metric.metric(off, loci, sets[name]), "metric")
         metrics.append(raw.withColumn("subset", F.lit(name)).withColumn("unrefined_count", F.lit(None).cast("bigint")))
         if f"{name}_ls" in wanted:
-            moved = local_search.search(sets[name], limits, pairs, loci, raw).persist()
+            moved = materialize(local_search.search(sets[name], limits, pairs, loci, raw), "refined")
             sets[f"{name}_ls"] = moved.select("chrom", "idx", F.col("refined").alias("locus"))
             left = metric.unrefined(moved).withColumnRenamed("unrefined", "unrefined_count")
             metrics.append(metric.metric(off, loci, sets[f"{name}_ls"]).join(left, "chrom", "left").withColumn("subset", F.lit(f"{name}_ls")))
@@ -96,8 +98,8 @@ def run(spark: SparkSession, vcf: str, genetic_map: str, output: str, individual
         raise ValueError("no variants in the input")
     gmap = text.read_genetic_map(spark, genetic_map, chrom[0])
     variants = text.usable(variants.join(gmap.select("chrom", "pos", F.col("cm").alias("g")), ["chrom", "pos"]))
-    panel = covariance.prepare_panel(variants).persist()
-    parts = maps.partition_chromosome(gmap, len(chosen), window, ne).persist()
+    panel = materialize(covariance.prepare_panel(variants), "panel")
+    parts = materialize(maps.partition_chromosome(gmap, len(chosen), window, ne), "partitions")
     paths = {k: os.path.join(output, k) for k in ("partitions", "covariance", "vector", "breakpoints", "blocks")}
     sinks.write_partitions(parts, paths["partitions"], chrom[0])
     store = CovarianceStore(spark, paths["covariance"])
@@ -107,7 +109,7 @@ def run(spark: SparkSession, vcf: str, genetic_map: str, output: str, individual
         wanted = spark.createDataFrame([tuple(r) for r in todo], parts.schema)
         store.write(covariance.by_partition(covariance.covariance(panel, 2 * len(chosen), len(chosen), ne, cutoff, full), wanted))
     cov = store.read(full)
-    signal_frame = vector.to_vector(cov, parts).persist()
+    signal_frame = materialize(vector.to_vector(cov, parts), "vector")
     sinks.write_vector(signal_frame, paths["vector"], chrom[0])
     found = find_breakpoints(cov, parts, n_bpoints, between, (subset,), signal_frame, search)
     sinks.write_breakpoints(sinks.breakpoints_json(found.sets, found.widths, found.metrics, list(SUBSETS)), paths["breakpoints"])
