@@ -149,7 +149,7 @@ class Encoder:
         starts, ends, rows = starts[keep], ends[keep], rows[keep]
         if len(starts):
             sums = np.zeros(len(data) + 1, np.uint64)
-            up, down = words._powers(1 << max(16, int(len(data)).bit_length()))
+            up, down = words.powers(len(data))
             np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
             hashed = words.mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
             if len(self.keys) > MAX_PIECES:

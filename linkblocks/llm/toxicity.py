@@ -23,7 +23,7 @@ from .labelled import labelled_sample
 
 GRADES = 3
 #: Bounds of the fit: labelled rows (chosen by hash) and features kept.
-MAX_LABELLED = 8_000
+MAX_LABELLED = 5_000
 MAX_FEATURES = 512
 MIN_DOCUMENTS = 4
 PREFIXES = (4, 5, 6)

@@ -31,13 +31,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n + 1, _BASE, U), np.full(n + 1, _BASE_INVERSE, U)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n + 1 at least."""
+    return _powers(1 << max(20, (n - 1).bit_length()))
+
+
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and where in them each row begins (one entry more than rows)."""
     if not len(data):
@@ -56,8 +61,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     """A 64-bit hash of each span of bytes, A-Z as a-z: prefix sums of a polynomial, shifted back to the span."""
     if not len(starts):
         return np.empty(0, U)
-    n = 1 << max(16, int(len(data)).bit_length())
-    up, down = _powers(n)
+    up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, U)
     np.cumsum((LOWER[data] + U(1)) * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
