@@ -73,7 +73,8 @@ def probabilities(tokens: np.ndarray, weight: np.ndarray, budget: float) -> np.n
     whole = np.concatenate([[0.0], np.cumsum(t)[:-1]])
     rest = np.cumsum((t * w)[::-1])[::-1]
     s = np.divide(budget * tokens.sum() - whole, rest, out=np.full(len(w), np.inf), where=rest > 0)
-    fits = np.flatnonzero(s * w <= 1)
+    with np.errstate(invalid="ignore"):  # cells of weight 0
+        fits = np.flatnonzero(s * w <= 1)
     if not len(fits):
         return (weight > 0).astype(float)
     return np.minimum(1, s[fits[0]] * weight)
