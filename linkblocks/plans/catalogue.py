@@ -457,14 +457,14 @@ def fb_01(s, d):
 
 def _interpolation(mode: str, expression: str, begin: str = "pos", rate: str = "rate") -> None:
     text = f"""
-SELECT s.chrom, s.rs_id, s.pos, round({expression}, 6) AS cm FROM snps s
+SELECT s.chrom, s.rs_id, s.pos, round({expression}, 11) AS cm FROM snps s
 LEFT JOIN (SELECT * FROM marks) m ON m.chrom = s.chrom AND m.mpos = (SELECT max(mpos) FROM marks k WHERE k.chrom = s.chrom AND k.mpos <= s.pos)
 LEFT JOIN marks x ON x.chrom = s.chrom AND x.mpos = (SELECT min(mpos) FROM marks k WHERE k.chrom = s.chrom AND k.mpos >= s.pos)"""
     marks = f"marks AS MATERIALIZED (SELECT chrom, {begin} AS mpos, {rate} AS rate, cum_cm, coalesce(lag(cum_cm) OVER (PARTITION BY chrom ORDER BY row_no), 0) AS before FROM rmap)"
 
     @query(f"int_{maps.MODES.index(mode) + 1:02d}_{mode.replace('-', '_')}", text, marks)
     def run(s, d):
-        return maps.interpolate(fx.snps(s, d), fx.map_rows(s, d), mode).select("chrom", "rs_id", "pos", _r("cm", 6))
+        return maps.interpolate(fx.snps(s, d), fx.map_rows(s, d), mode).select("chrom", "rs_id", "pos", _r("cm", 11))
 
 
 _interpolation("point", "CASE WHEN x.mpos = s.pos THEN x.cum_cm WHEN m.mpos IS NULL THEN 0 WHEN x.mpos IS NULL THEN m.cum_cm ELSE m.cum_cm + (s.pos - m.mpos) / (x.mpos - m.mpos)::DOUBLE * (x.cum_cm - m.cum_cm) END")
