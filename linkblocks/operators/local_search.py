@@ -38,6 +38,15 @@ def valid(spans: DataFrame) -> DataFrame:
     return spans.filter("first < stop and locus > first and locus < stop and bottom <= locus and locus <= top")
 
 
+def _last_window(positions: DataFrame, spans: DataFrame, column: str, edge: str, included) -> DataFrame:
+    """chrom, `column`, idx: the last window whose `edge` lies below each position (or at it, where `included`). Both are sorted together once."""
+    marks = spans.select("chrom", F.col(edge).alias("_at"), F.when(included, 0).otherwise(2).alias("_kind"), F.col("idx").alias("_i"))
+    points = positions.select("chrom", F.col(column).alias("_at")).distinct().withColumn("_kind", F.lit(1)).withColumn("_i", F.lit(None).cast(spans.schema["idx"].dataType))
+    order = Window.partitionBy("chrom").orderBy("_at", "_kind", "_i").rowsBetween(Window.unboundedPreceding, 0)
+    found = marks.unionByName(points).withColumn("idx", F.last("_i", ignorenulls=True).over(order))
+    return found.filter("_kind = 1 and idx is not null").select("chrom", F.col("_at").alias(column), "idx")
+
+
 def curves(spans: DataFrame, pairs: DataFrame, loci: DataFrame, totals: DataFrame) -> DataFrame:
     """chrom, idx, pos, side, sum, n, metric, distance: the metric with the breakpoint at each position of its window.
 
@@ -45,11 +54,15 @@ def curves(spans: DataFrame, pairs: DataFrame, loci: DataFrame, totals: DataFram
     to the window that holds lo, with hi up to the window's top. loci: chrom,
     pos. totals: chrom, sum, n_zero of the raw set.
     """
-    # windows tile the range, so the window of lo is found by one equi-join on chrom and one band
-    held = pairs.join(spans.select("chrom", "idx", "first", "stop", "top", "is_first"), "chrom").filter(((F.col("lo") > F.col("first")) | (F.col("is_first") & (F.col("lo") >= F.col("first")))) & (F.col("lo") <= F.col("stop")) & (F.col("hi") <= F.col("top")))
+    # windows tile the range: each lo has one, found by sorting, and pairs then meet windows by equality
+    of = _last_window(pairs, spans, "lo", "first", F.col("is_first"))
+    limits = spans.select("chrom", "idx", "stop", "top")
+    held = pairs.join(of, ["chrom", "lo"]).join(limits, ["chrom", "idx"]).filter("lo <= stop and hi <= top")
     ends = held.select("chrom", "idx", F.explode(F.array(F.struct(F.col("lo").alias("pos"), F.col("r2").alias("d")), F.struct(F.col("hi").alias("pos"), (-F.col("r2")).alias("d")))).alias("e")).select("chrom", "idx", "e.*")
     change = ends.groupBy("chrom", "idx", "pos").agg(F.sum("d").alias("d"))  # vert - horiz
-    listed = loci.join(spans, "chrom").filter("pos >= bottom and pos <= stop")
+    # a window reaches back to the breakpoint before it, so a position is in two of them at most
+    near = _last_window(loci, spans, "pos", "bottom", F.lit(True)).select("chrom", "pos", F.explode(F.array(F.col("idx"), F.col("idx") - 1)).alias("idx"))
+    listed = near.join(spans, ["chrom", "idx"]).filter("pos >= bottom and pos <= stop")
     ranked = listed.withColumn("r", F.row_number().over(Window.partitionBy("chrom", "idx").orderBy("pos")) - 1)
     each = Window.partitionBy("chrom", "idx")
     ranked = ranked.withColumn("top_rank", F.max("r").over(each)).withColumn("at", F.max(F.when(F.col("pos") <= F.col("locus"), F.struct("r", "pos"))).over(each))
