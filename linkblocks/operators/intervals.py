@@ -91,8 +91,8 @@ def nearest(query: DataFrame, reference: DataFrame) -> DataFrame:
     both = r.unionByName(q)
     mark = F.when(F.col("kind") == 0, F.col("pos"))
     back = Window.partitionBy("chrom").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("chrom").orderBy("pos", F.desc("kind")).rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("below", F.last(mark, ignorenulls=True).over(back)).withColumn("above", F.first(mark, ignorenulls=True).over(ahead)).filter("kind = 1")
+    ahead = Window.partitionBy("chrom").orderBy(F.desc("pos"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("below", F.last(mark, ignorenulls=True).over(back)).withColumn("above", F.last(mark, ignorenulls=True).over(ahead)).filter("kind = 1")
     lower = F.col("below").isNotNull() & (F.col("above").isNull() | (F.col("pos") - F.col("below") <= F.col("above") - F.col("pos")))
     at = F.when(lower, F.col("below")).otherwise(F.col("above"))
     return found.select("chrom", "pos", at.alias("nearest"), F.abs(at - F.col("pos")).alias("distance"))

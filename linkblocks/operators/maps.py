@@ -24,8 +24,9 @@ def _as_of(snps: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     points = snps.select("chrom", "pos", F.lit(1).alias("kind"), F.lit(None).cast(marks.schema["row"].dataType).alias("row"), F.col("row_no").alias("n"), F.struct(*[c for c in snps.columns]).alias("snp"))
     both = marks.withColumn("snp", F.lit(None).cast(points.schema["snp"].dataType)).unionByName(points)
     back = Window.partitionBy("chrom").orderBy("pos", "kind", "n").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("chrom").orderBy("pos", F.desc("kind"), "n").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("at", F.last("row", ignorenulls=True).over(back)).withColumn("next", F.first("row", ignorenulls=True).over(ahead))
+    # backwards, since a frame that ends at the last row is summed anew for each row
+    ahead = Window.partitionBy("chrom").orderBy(F.desc("pos"), "kind", F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("at", F.last("row", ignorenulls=True).over(back)).withColumn("next", F.last("row", ignorenulls=True).over(ahead))
     return found.filter("kind = 1").select("snp.*", "at", "next")
 
 
