@@ -1,12 +1,13 @@
 """Masked pseudo-likelihood of documents under a small bidirectional window network.
 
-Every word is predicted from the two words before and the two after it. Words
-are the most frequent ones of the whole corpus; the others share buckets. The
-network gives the probability of the word's class (classes of equal mass), the
-corpus counts that of the word in its class:
+Every word is predicted from the two words before and the two after it. The
+network reads words as ids: the most frequent ones of the whole corpus have
+their own, the others share buckets. It gives the probability of the word's
+class (classes of equal mass); the corpus counts of all words, which stay a
+distributed table, give that of the word itself in its class:
 
     hidden = tanh(sum over offsets of table[offset][neighbour] + bias)
-    P(word | both sides) = softmax(hidden . out + prior)[class] * P(word | class)
+    P(word | both sides) = softmax(hidden . out + prior)[class] * count(word) / count(class)
 
 Training passes over all documents: each task takes its own copy of the
 network through its texts in numpy (Adagrad), and the copies are averaged,
@@ -35,7 +36,7 @@ SLICES = 16
 
 @dataclass
 class Vocabulary:
-    """Sorted hashes of the frequent words with their ids; class and log P(id | class) of every id; log mass of classes."""
+    """Sorted hashes of the frequent words with their ids; class, log P(id | class) and log mass of every id; log share of classes."""
 
     hashes: np.ndarray
     ids: np.ndarray
@@ -43,6 +44,7 @@ class Vocabulary:
     classes: np.ndarray
     inside: np.ndarray
     prior: np.ndarray
+    mass: np.ndarray
 
     def encode(self, hashed: np.ndarray) -> np.ndarray:
         out = (len(self.ids) + (hashed % np.uint64(self.n_ids - len(self.ids)))).astype(np.int64)
@@ -62,7 +64,7 @@ def build_vocabulary(frequent: np.ndarray, counts: np.ndarray, rest: np.ndarray,
     classes[order] = np.minimum((total - mass[order] / 2) / total[-1] * n_classes, n_classes - 1).astype(np.int64)
     of_class = np.bincount(classes, mass, n_classes)
     sort = np.argsort(frequent)
-    return Vocabulary(frequent[sort], sort.astype(np.int64), len(mass), classes, np.log(mass / of_class[classes]), np.log(np.maximum(of_class, 1e-9) / mass.sum()))
+    return Vocabulary(frequent[sort], sort.astype(np.int64), len(mass), classes, np.log(mass / of_class[classes]), np.log(np.maximum(of_class, 1e-9) / mass.sum()), np.log(mass))
 
 
 class Network:
@@ -152,9 +154,9 @@ def count_words(docs: DataFrame, limit: int = 400_000) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def corpus_vocabulary(docs: DataFrame, size: int = VOCABULARY, buckets: int = BUCKETS) -> Vocabulary:
-    """The `size` most frequent words (ties by hash) and the mass of the buckets of all others."""
-    counted = materialize(count_words(docs), "counts")
+def corpus_vocabulary(docs: DataFrame, size: int = VOCABULARY, buckets: int = BUCKETS, counts: DataFrame | None = None) -> Vocabulary:
+    """The `size` most frequent words (ties by hash) and the mass of the buckets of all others; counts: count_words, where it is at hand."""
+    counted = materialize(count_words(docs), "counts") if counts is None else counts
     top = counted.orderBy(F.desc("n"), "hash").limit(size).collect()
     if buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
@@ -204,20 +206,40 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Network:
     return network
 
 
-def score(docs: DataFrame, network: Network) -> DataFrame:
-    """doc_id, n_words, log_prob (natural), mean_log_prob of every row; a text without words has 0 and null."""
+def score(docs: DataFrame, network: Network, counts: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, log_prob (natural), mean_log_prob of every row; a text without words has 0 and null.
+
+    With counts (count_words of the corpus) a word of a bucket has the bucket's
+    probability times its own share of the bucket, a word that the corpus lacks
+    as if it were there once; without, it has that of the bucket.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(network)
+    alone = counts is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch, data, offsets in text_chunks(batches):
             starts, ends, bounds = words.spans(data, offsets)
-            n = np.diff(bounds)
-            sums = np.zeros(len(batch))
+            n, sums = np.diff(bounds), np.zeros(len(batch))
+            hashed, rare = np.empty(0, np.uint64), np.empty(0, bool)
             if len(starts):
-                each = net.log_probabilities(net.vocabulary.encode(words.hashes(data, starts, ends)), bounds)
+                hashed = words.hashes(data, starts, ends)
+                ids = net.vocabulary.encode(hashed)
+                each, rare = net.log_probabilities(ids, bounds), ids >= len(net.vocabulary.ids)
+                if alone:
+                    each -= np.where(rare, net.vocabulary.mass[ids], 0)  # the logs of the words' counts come from the join
                 sums = np.bincount(words.row_of(bounds), each, len(batch))
-            mean = [s / k if k else None for s, k in zip(sums.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sums), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_words bigint, log_prob double, mean_log_prob double")
+            columns = [batch.column("doc_id"), pa.array(n), pa.array(sums)]
+            if alone:
+                at = np.concatenate([[0], np.cumsum(rare)])[bounds]
+                columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashed[rare].view(np.int64))))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "log_prob", "rare"][: len(columns)])
+
+    schema = "doc_id bigint, n_words bigint, log_prob double" + (", rare array<bigint>" if alone else "")
+    scored = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
+    if alone:
+        scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scores")
+        own = scored.select("row", F.explode("rare").alias("hash")).join(counts.filter("n > 1"), "hash")  # the log of 1 is 0
+        own = own.groupBy("row").agg(F.sum(F.log("n")).alias("own"))
+        scored = scored.drop("rare").join(own, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("own", F.lit(0.0)))
+    return scored.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, license_scan, lm_score, mixing, near_dedup, quality, search, token_store, toxicity
-from .common import table
+from .common import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +55,8 @@ FROM o GROUP BY conv_id
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.train(docs, lm_score.corpus_vocabulary(docs)))
+    counts = materialize(lm_score.count_words(docs), "counts")
+    return lm_score.score(docs, lm_score.train(docs, lm_score.corpus_vocabulary(docs, counts=counts)), counts)
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

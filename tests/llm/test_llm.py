@@ -115,6 +115,25 @@ def test_lm_without_any_text(spark):
     assert lm_score.score(empty, net).first()["n_words"] == 0
 
 
+def test_lm_scores_every_word_by_its_own_count(spark, small):
+    texts = [*small[:30], "a b zebra c d", "a b yak c d", *["yak"] * 20, None]
+    docs = docs_of(spark, texts, extra=True)
+    counts = lm_score.count_words(docs)
+    network = lm_score.train(docs, vocabulary := lm_score.corpus_vocabulary(docs, size=20, buckets=1, counts=counts), rounds=1)
+    n = Counter(w for t in texts for w in tokens(t))
+    got = {r["doc_id"]: r for r in lm_score.score(docs, network, counts).collect()}
+    assert len(got) == len(texts) and got[len(texts) - 1]["mean_log_prob"] is None
+    assert got[31]["log_prob"] - got[30]["log_prob"] == pytest.approx(np.log(n["yak"] / n["zebra"]))
+    log_class = vocabulary.mass - vocabulary.inside
+    for k in (0, 7, 30):
+        raw = [np.frombuffer(w.encode(), np.uint8) for w in tokens(texts[k])]
+        ids = np.array([int(vocabulary.encode(words.hashes(x, np.array([0]), np.array([len(x)])))[0]) for x in raw])
+        rare = ids >= len(vocabulary.ids)
+        each = network.log_probabilities(ids, np.array([0, len(ids)])) - vocabulary.inside[ids]
+        own = np.where(rare, np.log([n[w] for w in tokens(texts[k])]), vocabulary.mass[ids]) - log_class[ids]
+        assert rare.any() and got[k]["log_prob"] == pytest.approx((each + own).sum(), rel=1e-5)
+
+
 # ---- 3 mixing
 
 
