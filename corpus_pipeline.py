@@ -24,8 +24,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of documents whose tokens have the target shares of source, language and topic."""
-    return mixing.sample(docs)
+    """A sample of documents whose tokens have the target shares of source, language and topic, but for values that are too rare for theirs."""
+    return mixing.sample(docs, bounded=True)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,12 @@ The tokens of each cell (source, language, topic) are scaled until every
 source, language and topic has its target share of tokens; a document is kept
 with the probability that its cell's scaling asks for. Documents are read
 twice: once for the cells' totals, once to be sampled.
+
+Two fits: the plain one rakes first and then raises all weights, at most to 1,
+until the budget is full, which misses the shares wherever cells end at 1; the
+bounded one holds probabilities at 1 within the raking, so the kept tokens have
+the target shares. A value that has fewer tokens than its share of the budget
+is kept whole, and the others keep their proportions.
 """
 
 from __future__ import annotations
@@ -20,6 +26,8 @@ TEMPER = 0.5
 #: Expected share of all tokens that is kept.
 BUDGET = 0.5
 ITERATIONS = 25
+#: Rounds of the bounded fit, which nears its targets more slowly.
+BOUNDED_ITERATIONS = 200
 #: Cells fitted in one process; more are fitted by the same rules as a distributed job.
 MAX_LOCAL_CELLS = 100_000
 SEED = "mix"
@@ -80,28 +88,64 @@ def probabilities(tokens: np.ndarray, weight: np.ndarray, budget: float) -> np.n
     return np.minimum(1, s[fits[0]] * weight)
 
 
-def fit_cells(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, iterations: int = ITERATIONS, max_local: int = MAX_LOCAL_CELLS) -> DataFrame:
+def attainable(totals: list[np.ndarray], wanted: list[np.ndarray], budget: float) -> list[np.ndarray]:
+    """Tokens to keep of each value of each margin: in proportion to wanted, at most all; margins have equal sums, the budget if they can."""
+    ratio = [np.divide(w, t, out=np.zeros(len(t)), where=t > 0) for t, w in zip(totals, wanted, strict=True)]
+    budget = min([budget, *((t * (r > 0)).sum() / max(t.sum(), 1e-300) for t, r in zip(totals, ratio, strict=True))])
+    return [t * probabilities(t, r, budget) for t, r in zip(totals, ratio, strict=True)]
+
+
+def rake_bounded(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], budget: float, iterations: int = BOUNDED_ITERATIONS) -> np.ndarray:
+    """Probabilities of cells: tokens * probability has the goal in each value of each margin, as far as cells allow it."""
+    weight = np.full(len(tokens), budget)
+    for _ in range(iterations):
+        for code, goal in zip(codes, goals, strict=True):
+            now = np.bincount(code, tokens * np.minimum(1, weight), len(goal))
+            weight = weight * np.divide(goal, now, out=np.zeros(len(goal)), where=now > 0)[code]
+    return np.minimum(1, weight)
+
+
+def fit_cells(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, iterations: int | None = None, max_local: int = MAX_LOCAL_CELLS, bounded: bool = False) -> DataFrame:
     """source, lang, topic, probability of each cell, from their tokens.
 
     A value that is missing from given targets has target 0, so its documents
     go; targets of values that do not occur are spread over the others.
     """
     spark, targets = cells.sparkSession, targets or {}
+    iterations = iterations if iterations is not None else BOUNDED_ITERATIONS if bounded else ITERATIONS
     if cells.count() > max_local:
-        return _fit_distributed(cells, targets, temper, budget, iterations)
+        return _fit_distributed(cells, targets, temper, budget, iterations, bounded)
     rows = cells.orderBy(*MARGINS).collect()
     tokens = np.array([float(r["tokens"]) for r in rows])
-    codes, wanted = [], []
+    codes, totals, wanted = [], [], []
     for m in MARGINS:
         names = sorted({r[m] for r in rows})
         at = {n: i for i, n in enumerate(names)}
         codes.append(np.array([at[r[m]] for r in rows], np.int64))
-        wanted.append(_shares(np.bincount(codes[-1], tokens, len(names)), targets.get(m), names, temper) * tokens.sum())
-    p = probabilities(tokens, rake(tokens, codes, wanted, iterations), budget) if len(rows) else np.empty(0)
+        totals.append(np.bincount(codes[-1], tokens, len(names)))
+        wanted.append(_shares(totals[-1], targets.get(m), names, temper) * tokens.sum())
+    if not len(rows):
+        p = np.empty(0)
+    elif bounded:
+        p = rake_bounded(tokens, codes, attainable(totals, wanted, budget), budget, iterations)
+    else:
+        p = probabilities(tokens, rake(tokens, codes, wanted, iterations), budget)
     return spark.createDataFrame([(*(r[m] for m in MARGINS), float(x)) for r, x in zip(rows, p, strict=True)], "source string, lang string, topic string, probability double")
 
 
-def _fit_distributed(cells: DataFrame, targets: dict[str, dict[str, float]], temper: float, budget: float, iterations: int) -> DataFrame:
+def _scale(frame: DataFrame, have: Column, want: Column, total: float) -> float:
+    """The s at which the sum of least(have, s * want) is `total`, or beyond which it no longer grows."""
+    low, high = 0.0, 1.0
+    kept = lambda s: frame.agg(F.sum(F.least(have, F.lit(s) * want))).first()[0] or 0.0
+    while kept(high) < total and high < 1e18:
+        high *= 2
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if kept(middle) < total else (low, middle)
+    return high
+
+
+def _fit_distributed(cells: DataFrame, targets: dict[str, dict[str, float]], temper: float, budget: float, iterations: int, bounded: bool = False) -> DataFrame:
     """The same fit with cells in a frame: sums by window over each margin, lineage cut after every round."""
     spark = cells.sparkSession
     total = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -115,22 +159,30 @@ def _fit_distributed(cells: DataFrame, targets: dict[str, dict[str, float]], tem
             frame = frame.withColumn(f"t_{m}", F.when(own > 0, F.pow(own / F.lit(float(total)), F.lit(temper))).otherwise(0.0))
         sums = frame.groupBy(m).agg(F.first(f"t_{m}").alias("t")).agg(F.sum("t")).first()[0] or 1.0
         frame = frame.withColumn(f"t_{m}", F.col(f"t_{m}") / F.lit(sums) * F.lit(float(total)))
+    held = F.col("weight")
+    if bounded:
+        frame = materialize(frame, "rake")
+        held = F.least(F.lit(1.0), F.col("weight"))
+        reach = [frame.filter(f"t_{m} > 0").agg(F.sum("tokens")).first()[0] or 0 for m in MARGINS]
+        wanted = min(budget * total, *reach)
+        for m in MARGINS:
+            values = materialize(frame.groupBy(m).agg(F.sum("tokens").cast("double").alias("own"), F.first(f"t_{m}").alias("t")), "margin")
+            s = _scale(values, F.col("own"), F.col("t"), wanted)
+            own = F.sum("tokens").over(Window.partitionBy(m)).cast("double")
+            frame = frame.withColumn(f"t_{m}", F.least(own, F.lit(s) * F.col(f"t_{m}")))
+        frame = frame.withColumn("weight", F.lit(float(budget)))
     for _ in range(iterations):
         for m in MARGINS:
-            now = F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(m))
+            now = F.sum(F.col("tokens") * held).over(Window.partitionBy(m))
             frame = frame.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"t_{m}") / now).otherwise(0.0))
         frame = materialize(frame, "rake")
-    low, high = 0.0, 1.0
-    kept = lambda s: frame.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(s) * F.col("weight")))).first()[0] or 0.0
-    while kept(high) < budget * total and high < 1e18:
-        high *= 2
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if kept(middle) < budget * total else (low, middle)
+    if bounded:
+        return frame.select(*MARGINS, held.alias("probability"))
+    high = _scale(frame, F.col("tokens").cast("double"), F.col("tokens") * F.col("weight"), budget * total)
     return frame.select(*MARGINS, F.least(F.lit(1.0), F.lit(high) * F.col("weight")).alias("probability"))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, iterations: int = ITERATIONS, max_local: int = MAX_LOCAL_CELLS) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, iterations: int | None = None, max_local: int = MAX_LOCAL_CELLS, bounded: bool = False) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability, kept of every row.
 
     `kept` compares the probability with a number that depends on doc_id alone,
@@ -138,7 +190,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, tem
     """
     seen = materialize(features(docs), "mixing")  # some bytes a document
     cells = seen.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
-    fitted = fit_cells(cells, targets, temper, budget, iterations, max_local)
+    fitted = fit_cells(cells, targets, temper, budget, iterations, max_local, bounded)
     return seen.join(fitted, list(MARGINS)).withColumn("kept", unit_hash(F.lit(SEED), F.col("doc_id")) < F.col("probability"))
 
 

@@ -164,6 +164,54 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs_of(spark, [])).count() == 0 and mixing.sample(docs_of(spark, [])).count() == 0
 
 
+def margins(rows, m):
+    total = Counter()
+    for r in rows:
+        total[r[m]] += r["n_tokens"] * r["probability"]
+    return {k: v / sum(total.values()) for k, v in total.items()}
+
+
+def test_bounded_mixing_meets_the_targets_that_tokens_allow(spark):
+    docs = common.table(spark, SF, "documents")
+    rows = mixing.mix(docs, bounded=True).collect()
+    have = {m: Counter() for m in mixing.MARGINS}
+    for r in rows:
+        for m in mixing.MARGINS:
+            have[m][r[m]] += r["n_tokens"]
+    total = sum(have["lang"].values())
+    for m in mixing.MARGINS:
+        names = sorted(n for n in have[m] if have[m][n])
+        own = np.array([have[m][n] / total for n in names])
+        low, high = 0.0, 1e6  # by bisection: what is wanted, at most what there is
+        for _ in range(200):
+            s = (low + high) / 2
+            low, high = (s, high) if np.minimum(own, s * np.sqrt(own)).sum() < mixing.BUDGET else (low, s)
+        got = margins(rows, m)
+        assert [got[n] * mixing.BUDGET for n in names] == pytest.approx(np.minimum(own, high * np.sqrt(own)), abs=6e-3)  # cells allow a little less than each margin by itself
+    local, far = ({r["doc_id"]: r["probability"] for r in mixing.mix(docs, bounded=True, max_local=m, iterations=3).collect()} for m in (10**6, 0))
+    assert far == pytest.approx(local, abs=1e-9)
+
+
+def test_bounded_mixing_has_exact_shares_where_all_are_attainable():
+    t = np.array([900.0, 60, 30, 10, 500, 300, 200, 100])
+    codes = [np.arange(8) % 2, np.arange(8) // 4]
+    wanted = [np.array([0.65, 0.35]) * t.sum(), np.array([0.2, 0.8]) * t.sum()]
+    totals = [np.bincount(c, t) for c in codes]
+    p = mixing.rake_bounded(t, codes, mixing.attainable(totals, wanted, 0.6), 0.6)
+    plain = mixing.probabilities(t, mixing.rake(t, codes, wanted), 0.6)
+    for c, want in zip(codes, wanted, strict=True):
+        assert np.bincount(c, t * p) == pytest.approx(0.6 * want, rel=1e-3)
+    assert max(abs(np.bincount(c, t * plain) / (0.6 * want) - 1).max() for c, want in zip(codes, wanted, strict=True)) > 0.02
+
+
+def test_pipeline_mixes_with_bounds(spark):
+    import corpus_pipeline
+
+    docs = common.table(spark, SF, "documents")
+    kept = {r["doc_id"] for r in mixing.mix(docs, bounded=True).filter("kept").collect()}
+    assert {r["doc_id"] for r in corpus_pipeline.source_mixing(spark, docs, SF).collect()} == kept
+
+
 # ---- 4 search
 
 
