@@ -9,9 +9,12 @@ distributed table, give that of the word itself in its class:
     hidden = tanh(sum over offsets of table[offset][neighbour] + bias)
     P(word | both sides) = softmax(hidden . out + prior)[class] * count(word) / count(class)
 
-Training passes over all documents: each task takes its own copy of the
-network through its texts in numpy (Adagrad), and the copies are averaged,
-weighted by their words. A document's score is the sum of log P over its words.
+Training deals documents by a hash into units of about UNIT_WORDS words, however
+the table is partitioned. In a round every unit takes its own copy of the
+network through its documents in numpy (Adagrad, a step for STEP_WORDS words);
+copies and their sums of squares are averaged, weighted by words. Rounds go on
+until the documents held out gain less than SETTLED a word; a last round takes
+them in too. A document's score is the sum of log P over its words.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from .common import materialize, text_chunks
 VOCABULARY, BUCKETS, CLASSES, HIDDEN = 8192, 1024, 64, 16
 OFFSETS = (-2, -1, 1, 2)
 STEP_WORDS, RATE = 32_768, 0.15
+#: Words of a unit; one in HELD_OUT documents says when training has settled (nats a word); most rounds until then.
+UNIT_WORDS, HELD_OUT, SETTLED, ROUNDS = 1 << 22, 64, 0.01, 8
 #: Slices of the parameters that are averaged apart from each other.
 SLICES = 16
 
@@ -170,39 +175,108 @@ def corpus_vocabulary(docs: DataFrame, size: int = VOCABULARY, buckets: int = BU
     return build_vocabulary(hashes, counts, np.maximum(rest, 0))
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Network:
-    """One pass a round over all documents; without any word the network stays as it began."""
-    network = Network(vocabulary)
-    context = docs.sparkSession.sparkContext
-    for _ in range(rounds):
-        start = context.broadcast(network)  # some MB, whatever the corpus
+def deal(docs: DataFrame, vocabulary: Vocabulary, unit_words: int = UNIT_WORDS) -> tuple[DataFrame, int]:
+    """unit, ids (a document's, as bytes) in the order of a hash of the document within each unit; how many units come first that are held out."""
+    units = max(1, round(float(np.exp(vocabulary.mass).sum()) / unit_words))
+    held = -(-units // HELD_OUT)
+    kind = np.uint16 if vocabulary.n_ids < 1 << 16 else np.int32
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in text_chunks(batches):
+            starts, ends, bounds = words.spans(data, offsets)
+            ids = vocabulary.encode(words.hashes(data, starts, ends)).astype(kind)
+            at = (bounds * ids.itemsize).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(ids.tobytes())])], ["key", "ids"])
+
+    text = F.col("text").cast("string")
+    coded = docs.select(F.xxhash64("doc_id", text).alias("key"), text.alias("text")).mapInArrow(encode, "key bigint, ids binary").filter(F.length("ids") > 0)
+    out = F.pmod(F.shiftrightunsigned("key", 40), F.lit(HELD_OUT)) == 0
+    unit = F.when(out, F.pmod("key", F.lit(held))).otherwise(F.pmod("key", F.lit(units)) + held).cast("int")
+    dealt = coded.withColumn("unit", unit).repartitionById(units + held, F.col("unit")).sortWithinPartitions("unit", "key")
+    return materialize(dealt.select("unit", "ids"), "units"), held
+
+
+def steps(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """unit, ids, bounds of documents of up to STEP_WORDS words together; a longer document comes alone."""
+    unit, group, size = None, [], 0
+    whole = lambda: (unit, np.concatenate(group).astype(np.int64), np.concatenate([[0], np.cumsum([len(g) for g in group])]))
+    for batch in batches:
+        for own, raw in zip(batch.column("unit").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            ids = np.frombuffer(raw, kind)
+            if group and (own != unit or size + len(ids) > STEP_WORDS):
+                yield whole()
+                group, size = [], 0
+            unit, size = own, size + len(ids)
+            group.append(ids)
+    if group:
+        yield whole()
+
+
+def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, unit_words: int = UNIT_WORDS, settled: float = SETTLED) -> Network:
+    """At most `rounds` rounds until the held-out documents settle and one over all; without any word the network stays as it began."""
+    network, context = Network(vocabulary), docs.sparkSession.sparkContext
+    squares = np.zeros_like(network.flat)
+    dealt, held = deal(docs, vocabulary, unit_words)
+    kind = np.uint16 if vocabulary.n_ids < 1 << 16 else np.int32
+    schema = "slice int, n double, values binary"
+
+    def one_round(part: DataFrame) -> None:
+        nonlocal network, squares
+        start = context.broadcast((network, squares))  # some MB, whatever the corpus
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            local = Network(start.value.vocabulary, start.value.flat)
-            squares, seen = np.zeros_like(local.flat), 0
-            for _, data, offsets in text_chunks(batches):
-                starts, ends, bounds = words.spans(data, offsets)
-                if len(starts):
-                    local.learn(local.vocabulary.encode(words.hashes(data, starts, ends)), bounds, squares)
-                    seen += len(starts)
-            if seen:
-                parts = np.array_split(local.flat, SLICES)
-                yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([float(seen)] * SLICES), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "n", "values"])
+            def out() -> pa.RecordBatch:
+                parts = np.array_split(np.stack([local.flat, sums]), SLICES, axis=1)
+                return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([float(seen)] * SLICES), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "n", "values"])
+
+            own = None
+            for unit, ids, bounds in steps(batches, kind):
+                if unit != own:
+                    if own is not None:
+                        yield out()
+                    own, local, sums, seen = unit, Network(start.value[0].vocabulary, start.value[0].flat), start.value[1].copy(), 0
+                local.learn(ids, bounds, sums)
+                seen += len(ids)
+            if own is not None:
+                yield out()
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, list] = {}
             for batch in batches:
-                for i, n, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own = total.setdefault(i, [0.0, 0.0])
-                    own[0] += n
-                    own[1] = own[1] + n * np.frombuffer(values, np.float32).astype(float)
+                for i, n, values in zip(*batch.columns, strict=True):
+                    own = total.setdefault(i.as_py(), [0.0, 0.0])
+                    own[0] += n.as_py()
+                    own[1] = own[1] + n.as_py() * np.frombuffer(values.as_buffer(), np.float32).astype(float)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([float(n) for n, _ in total.values()]), pa.array([(v / n).astype(np.float32).tobytes() for n, v in total.values()], pa.binary())], ["slice", "n", "values"])
 
-        schema = "slice int, n double, values binary"
-        copies = docs.select(F.col("text").cast("string")).mapInArrow(run, schema)
-        merged = copies.repartition(SLICES, "slice").mapInArrow(average, schema).collect()  # one copy of the parameters
+        merged = part.mapInArrow(run, schema).repartition(SLICES, "slice").mapInArrow(average, schema).collect()  # one copy of the parameters
         if merged:
-            network = Network(vocabulary, np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(merged, key=lambda r: r["slice"])]))
+            flat, squares = np.concatenate([np.frombuffer(r["values"], np.float32).reshape(2, -1) for r in sorted(merged, key=lambda r: r["slice"])], axis=1)
+            network, squares = Network(vocabulary, flat), squares.copy()
+        start.unpersist()
+
+    def held_out() -> float | None:
+        shared = context.broadcast(network)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, seen = 0.0, 0
+            for _, ids, bounds in steps(batches, kind):
+                total += float(shared.value.log_probabilities(ids, bounds).sum())
+                seen += len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([float(seen)])], ["total", "n"])
+
+        total, seen = dealt.filter(F.col("unit") < held).mapInArrow(run, "total double, n double").agg(F.sum("total"), F.sum("n")).first()
+        shared.unpersist()
+        return total / seen if seen else None
+
+    before = held_out()
+    for _ in range(rounds):
+        one_round(dealt.filter(F.col("unit") >= held))
+        now = held_out()
+        if before is not None and now - before < settled:
+            break
+        before = now
+    one_round(dealt)
     return network
 
 

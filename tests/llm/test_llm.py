@@ -134,6 +134,16 @@ def test_lm_scores_every_word_by_its_own_count(spark, small):
         assert rare.any() and got[k]["log_prob"] == pytest.approx((each + own).sum(), rel=1e-5)
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark, small):
+    docs = docs_of(spark, [*small, None, ""])
+    out = []
+    for n in (1, 24):
+        dealt = docs.repartition(n)
+        network = lm_score.train(dealt, lm_score.corpus_vocabulary(dealt, size=200, buckets=64), rounds=2, unit_words=3000)
+        out.append([r["log_prob"] for r in lm_score.score(dealt, network).orderBy("doc_id").collect()])
+    assert out[0] == pytest.approx(out[1], rel=1e-4)
+
+
 # ---- 3 mixing
 
 
