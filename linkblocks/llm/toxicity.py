@@ -23,7 +23,7 @@ from .labelled import labelled_sample
 
 GRADES = 3
 #: Bounds of the fit: labelled rows (chosen by hash) and features kept.
-MAX_LABELLED = 5_000
+MAX_LABELLED = 8_000
 MAX_FEATURES = 512
 MIN_DOCUMENTS = 4
 PREFIXES = (4, 5, 6)
@@ -81,13 +81,28 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Learn from at most `max_labelled` labelled rows. Without both labels the model calls everything clean."""
     sample = labelled_sample(docs, labels, "toxic", max_labelled)
-    rows = sample.mapInArrow(word_counts, "doc_id bigint, label int, words array<bigint>, counts array<int>").toArrow().combine_chunks()
+    return fit_arrays(*compact(sample.mapInArrow(word_counts, "doc_id bigint, label int, words array<bigint>, counts array<int>").toArrow()))
+
+
+def compact(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """label of each row; row, word, count of the words of at least MIN_DOCUMENTS rows (no others can be features), a chunk at a time."""
     label = (rows.column("label").to_numpy() > 0).astype(np.int64)
-    lists = rows.column("words").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    flat = lists.flatten().to_numpy().view(np.uint64)
-    counts = rows.column("counts").combine_chunks().flatten().to_numpy().astype(float)
-    return fit_arrays(label, np.repeat(np.arange(len(label)), sizes), flat, counts)
+    lists, tallies = rows.column("words").chunks, rows.column("counts").chunks
+    seen = np.concatenate([np.empty(0, np.uint64), *(c.flatten().to_numpy().view(np.uint64) for c in lists)])
+    seen.sort()
+    last = MIN_DOCUMENTS - 1
+    common = np.unique(seen[last:][seen[last:] == seen[: max(0, len(seen) - last)]])
+    del seen
+    row, word, count, first = [np.empty(0, np.int32)], [np.empty(0, np.uint64)], [np.empty(0)], 0
+    for own, tally in zip(lists, tallies, strict=True):
+        flat = own.flatten().to_numpy().view(np.uint64)
+        if len(common):
+            kept = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat
+            row.append(np.repeat(np.arange(first, first + len(own), dtype=np.int32), np.diff(own.offsets.to_numpy()))[kept])
+            word.append(flat[kept])
+            count.append(tally.flatten().to_numpy()[kept].astype(float))
+        first += len(own)
+    return label, np.concatenate(row), np.concatenate(word), np.concatenate(count)
 
 
 def fit_arrays(label: np.ndarray, row: np.ndarray, word: np.ndarray, count: np.ndarray, rounds: int = 800) -> Model:

@@ -475,6 +475,21 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(docs_of(spark, []), model).count() == 0
 
 
+def test_toxicity_compact_triples_give_the_same_model():
+    rng = np.random.default_rng(4)
+    label = rng.integers(0, 2, 600)
+    lists = [np.unique(np.concatenate([rng.integers(100, 9000, 40), rng.integers(0, 9, 5) + 10 * y])) for y in label]
+    counts = [rng.integers(1, 4, len(x)) for x in lists]
+    make = lambda a, b: pa.table({"label": pa.array(label[a:b], pa.int32()), "words": pa.array(lists[a:b], pa.list_(pa.int64())), "counts": pa.array(counts[a:b], pa.list_(pa.int32()))})
+    own = toxicity.compact(pa.concat_tables([make(0, 250), make(250, 600)]))
+    row, word = np.repeat(np.arange(600), [len(x) for x in lists]), np.concatenate(lists).astype(np.uint64)
+    assert len(own[1]) < len(row) and toxicity.MAX_LABELLED == 8_000
+    model, full = toxicity.fit_arrays(*own), toxicity.fit_arrays(label, row, word, np.concatenate(counts).astype(float))
+    assert len(full.features) and (model.features == full.features).all()
+    assert model.weights == pytest.approx(full.weights) and model.thresholds == pytest.approx(full.thresholds)
+    assert len(toxicity.fit_arrays(*toxicity.compact(make(0, 0))).features) == 0
+
+
 def test_toxicity_without_labels_calls_all_clean(spark):
     docs = docs_of(spark, ["scum", None])
     for rows in ([], [(0, None)], [(0, 1)], [(0, 1), (0, 0), (None, 1)]):
