@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where the cluster names none (tests), a local one."""
+    """The folder that all executors share; a local one only where the cluster names none and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="linkblocks-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/linkblocks-{spark.sparkContext.applicationId}"
@@ -41,6 +44,35 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back: Spark keeps a Python worker, with all it holds, for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(kernel: Callable) -> Callable:
+    """The kernel (batches to batches), releasing memory when its task ends."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from kernel(batches)
+        finally:
+            release()
+
+    return run
+
+
+def chunked_array(texts: Iterator[pa.Array], kernel: Callable[[np.ndarray, np.ndarray], pa.Array], limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
+    """One array for each array of texts, made by the kernel from text chunks."""
+    for text in texts:
+        batch = pa.RecordBatch.from_arrays([text], ["text"])
+        made = [kernel(data, offsets) for _, data, offsets in text_chunks(iter([batch]), limit=limit)]
+        yield pa.concat_arrays(made) if made else kernel(np.empty(0, np.uint8), np.zeros(1, np.int64))
+    release()
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches holding at most `limit` bytes of text, with the UTF-8 bytes and row offsets of their texts; null is empty."""
     for batch in batches:

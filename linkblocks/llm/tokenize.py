@@ -1,14 +1,17 @@
 """Encoding of text batches with a public tokenizer file.
 
 A byte-level BPE encodes each piece of its pre-tokenizer alone, so each
-distinct piece is encoded once by the library and looked up after that. Pieces
-are found with numpy for texts of plain characters (below U+0280); any other
-text, and any text holding an added token, is handed to the library as it is.
+distinct piece is encoded once by the library and looked up after that, by its
+bytes: pieces of up to 15 bytes are compared as two integers that hold their
+bytes and length, longer ones as byte strings. Pieces are found with numpy for
+texts of plain characters (below U+0280); any other text, and any text holding
+an added token, is handed to the library as it is.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from functools import lru_cache
 
@@ -18,9 +21,11 @@ from . import words
 
 LETTER, NUMBER, SPACE, OTHER, LIBRARY = 0, 1, 2, 3, 4
 #: Pieces kept for look-up; beyond that the store starts again, which costs time only.
-MAX_PIECES = 2_000_000
-#: Slots of the direct-mapped table in front of the sorted store.
-FRONT_BITS = 21
+MAX_PIECES = 400_000
+#: Slots of the direct-mapped table in front of the store.
+FRONT_BITS = 18
+#: Bytes of a piece that fit two integers together with its length.
+SHORT = 15
 
 
 def _class(c: int) -> int:
@@ -40,21 +45,21 @@ class Encoder:
     """Token ids of texts; keeps the ids of the pieces it has met."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            kind = json.load(f)
-        before = kind.get("pre_tokenizer") or {}
-        self.by_piece = kind["model"]["type"] == "BPE" and not kind.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not kind["model"].get("dropout")
-        self.added = [x["content"].encode() for x in kind.get("added_tokens", [])]
+        before = json.loads(self.library.pre_tokenizer.__getstate__()) if self.library.pre_tokenizer is not None else {}
+        model = self.library.model
+        self.by_piece = type(model).__name__ == "BPE" and self.library.normalizer is None and before.get("type") == "ByteLevel" and bool(before.get("use_regex")) and not before.get("add_prefix_space") and not model.dropout
+        self.added = [x.content.encode() for x in self.library.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.empty(0, np.uint64)
-        self.place = np.empty(0, np.int64)  # index into begin and size, in the order of keys
+        self.place: dict[bytes, int] = {}  # index into begin and size
         self.begin, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
-        self.front_key, self.front_place = np.zeros(1 << FRONT_BITS, np.uint64), np.zeros(1 << FRONT_BITS, np.int32)
+        self.front = np.zeros((2, 1 << FRONT_BITS), np.uint64)
+        self.front_place = np.zeros(1 << FRONT_BITS, np.int32)
 
     def encode_text(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -101,29 +106,26 @@ class Encoder:
         first[-1] = False
         return np.flatnonzero(first), rows
 
-    def _learn(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> None:
-        """Encode pieces not met before. Those that begin with a blank are joined, so that one call encodes many."""
-        whole = data.tobytes()
-        second = data[np.minimum(starts + 1, len(data) - 1)]
-        after = np.concatenate([[0], np.cumsum(data >= 128)])
-        plain = (ends - starts > 1) & (data[starts] == 32) & (_ONE[second] == LETTER) & (after[ends] == after[starts])
-        joined, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
-        texts = [whole[s:e].decode() for s, e in zip(starts[joined].tolist(), ends[joined].tolist(), strict=True)]
-        got = [x.ids for x in self.library.encode_batch_fast(["".join(texts[i : i + 256]) for i in range(0, len(texts), 256)], add_special_tokens=False)]
-        flat = np.array([x for y in got for x in y], np.int32)
-        last = np.searchsorted(np.cumsum(self._sizes[flat]), np.cumsum((ends - starts)[joined])) + 1  # no id crosses from one piece to the next
-        single = [x.ids for x in self.library.encode_batch_fast([whole[s:e].decode() for s, e in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)], add_special_tokens=False)]
-        flat = np.concatenate([flat, np.array([x for y in single for x in y], np.int32)])
-        size = np.concatenate([np.diff(last, prepend=0), np.fromiter(map(len, single), np.int64, len(single))])
-        keys = keys[np.concatenate([joined, rest])]
-        n = len(self.begin)
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Encode pieces not met before. Those of a blank and ASCII letters are joined, so that one call encodes many."""
+        joined = [p for p in pieces if len(p) > 1 and p[0] == 32 and p[1:].isalpha()]
+        single = [p for p in pieces if not (len(p) > 1 and p[0] == 32 and p[1:].isalpha())]
+        got = self.library.encode_batch_fast([b"".join(joined[i : i + 256]).decode() for i in range(0, len(joined), 256)], add_special_tokens=False)
+        flat = np.array([x for y in got for x in y.ids], np.int32)
+        last = np.searchsorted(np.cumsum(self._sizes[flat]), np.cumsum([len(p) for p in joined])) + 1  # no id crosses from one piece to the next
+        alone = [x.ids for x in self.library.encode_batch_fast([p.decode() for p in single], add_special_tokens=False)]
+        size = np.concatenate([np.diff(last, prepend=0), np.fromiter(map(len, alone), np.int64, len(alone))]).astype(np.int64)
+        self.place.update(zip([*joined, *single], range(len(self.begin), len(self.begin) + len(size)), strict=True))
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, flat])
-        order = np.argsort(keys)
-        at = np.searchsorted(self.keys, keys[order])
-        self.keys = np.insert(self.keys, at, keys[order])
-        self.place = np.insert(self.place, at, n + order)
+        self.flat = np.concatenate([self.flat, flat, np.array([x for y in alone for x in y], np.int32)])
+
+    def _look_up(self, pieces: list[bytes]) -> np.ndarray:
+        """Index of each piece."""
+        new = list(dict.fromkeys(p for p in pieces if p not in self.place))
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
 
     @property
     def _sizes(self) -> np.ndarray:
@@ -147,30 +149,29 @@ class Encoder:
         ends = np.append(starts[1:], len(data))
         keep = ~by_library[rows] if len(rows) else np.empty(0, bool)
         starts, ends, rows = starts[keep], ends[keep], rows[keep]
+        which = np.empty(len(starts), np.int64)
         if len(starts):
-            sums = np.zeros(len(data) + 1, np.uint64)
-            up, down = words.powers(len(data))
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-            hashed = words.mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-            if len(self.keys) > MAX_PIECES:
+            if len(self.place) > MAX_PIECES:
                 self._clear()
-            slot = (hashed >> np.uint64(64 - FRONT_BITS)).astype(np.int64)
-            which = self.front_place[slot].astype(np.int64)
-            missed = np.flatnonzero(self.front_key[slot] != hashed)
+            view, whole, length = words.lanes(data), data.tobytes(), ends - starts
+            piece = lambda at: [whole[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            short = np.flatnonzero(length <= SHORT)
+            head = view[starts[short]] & words.FIRST[np.minimum(length[short], 8)]
+            tail = view[np.minimum(starts[short] + 8, len(data))] & words.FIRST[np.maximum(length[short] - 8, 0)] | length[short].astype(np.uint64) << np.uint64(56)
+            slot = (words.mix(head ^ words.mix(tail)) >> np.uint64(64 - FRONT_BITS)).astype(np.int64)
+            found = self.front_place[slot].astype(np.int64)
+            missed = np.flatnonzero((self.front[0][slot] != head) | (self.front[1][slot] != tail))
             if len(missed):
-                keys, where, back = np.unique(hashed[missed], return_index=True, return_inverse=True)
-                at = np.searchsorted(self.keys, keys)
-                new = at == len(self.keys)
-                new[~new] = self.keys[at[~new]] != keys[~new]
-                if new.any():
-                    source = missed[where[new]]
-                    self._learn(keys[new], starts[source], ends[source], data)
-                    at = np.searchsorted(self.keys, keys)
-                which[missed] = self.place[at][back]
-                slot = (keys >> np.uint64(64 - FRONT_BITS)).astype(np.int64)
-                self.front_key[slot], self.front_place[slot] = keys, self.place[at]
-        else:
-            which = np.empty(0, np.int64)
+                order = missed[np.lexsort((tail[missed], head[missed]))]
+                first = np.ones(len(order), bool)
+                first[1:] = (head[order][1:] != head[order][:-1]) | (tail[order][1:] != tail[order][:-1])
+                one = order[first]
+                known = self._look_up(piece(short[one]))
+                found[order] = known[np.cumsum(first) - 1]
+                self.front[0][slot[one]], self.front[1][slot[one]], self.front_place[slot[one]] = head[one], tail[one], known
+            which[short] = found
+            long = np.flatnonzero(length > SHORT)
+            which[long] = self._look_up(piece(long))
         begin, size, flat, extra = self.begin, self.size, self.flat, []
         for row in np.flatnonzero(by_library).tolist():
             extra.append((row, self.encode_text(data[offsets[row] : offsets[row + 1]].tobytes().decode())))

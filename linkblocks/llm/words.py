@@ -7,7 +7,7 @@ depend on the word alone and are the same on every machine.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 
@@ -15,10 +15,12 @@ U = np.uint64
 IS_WORD = np.zeros(256, bool)
 IS_WORD[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 IS_WORD[128:] = True
-LOWER = np.arange(256, dtype=np.uint64)
-LOWER[65:91] += U(32)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Keeps the first n bytes of eight.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+#: Longer spans are hashed one by one.
+LANES = 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,16 +33,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n + 1, _BASE, U), np.full(n + 1, _BASE_INVERSE, U)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, n + 1 at least."""
-    return _powers(1 << max(20, (n - 1).bit_length()))
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one integer (zeros after the end); one entry more than bytes."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,13 +55,26 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, A-Z as a-z: prefix sums of a polynomial, shifted back to the span."""
+    """A 64-bit hash of each span of bytes, A-Z as a-z.
+
+    Eight bytes at a time go through the scrambler together with what came
+    before them, so spans of one length up to eight never share a hash; spans
+    of over 64 bytes have eight bytes of their BLAKE2 digest.
+    """
     if not len(starts):
         return np.empty(0, U)
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((LOWER[data] + U(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+    low, size = LOWER[data], ends - starts
+    view = lanes(low)
+    out = mix(mix(size.astype(U) * U(0x9E3779B97F4A7C15) + U(1)) ^ (view[starts] & FIRST[np.minimum(size, 8)]))
+    more = np.flatnonzero((size > 8) & (size <= 8 * LANES))
+    for i in range(1, LANES):
+        if not len(more):
+            break
+        out[more] = mix(out[more] * U(0xA0761D6478BD642F) ^ (view[starts[more] + 8 * i] & FIRST[np.minimum(size[more] - 8 * i, 8)]))
+        more = more[size[more] > 8 * (i + 1)]
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def row_of(bounds: np.ndarray) -> np.ndarray:
