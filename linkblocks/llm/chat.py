@@ -30,15 +30,16 @@ def unescape(text):
 def format_chat(turns: DataFrame) -> DataFrame:
     """conv_id, formatted string, loss_mask array<struct<chars, loss>> of each conversation.
 
-    Turns are ordered by turn, then role, then text (nulls first), so repeated
-    turns have a defined order and all stay. Null role or text is empty; null
+    Turns are ordered by turn (null first), then role, then text as they were
+    given, so repeated turns have a defined order and all stay. Null role or text is empty; null
     conv_id is a conversation of its own. loss_mask gives the string's
     consecutive runs in code points; loss marks the assistant's texts alone. A
     conversation becomes one string, so it has to fit one row.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = turns.select("conv_id", F.struct("turn", escape(text("role")).alias("role"), escape(text("text")).alias("text")).alias("t"))
+    rows = turns.select("conv_id", F.struct("turn", text("role").alias("role"), text("text").alias("text")).alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    grouped = grouped.withColumn("turns", F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"))))
     # the turns that open a block, and one past the last turn
     opens = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (i == 1) | (F.element_at("turns", i)["role"] != F.element_at("turns", F.greatest(i - 1, F.lit(1)))["role"]))
     grouped = grouped.withColumn("opens", F.concat(opens, F.array(F.size("turns") + 1)))
