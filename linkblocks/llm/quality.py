@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import text_chunks
+from .common import lean, text_chunks
 from .labelled import labelled_sample
 
 PASSAGE_WORDS = 64
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", where: Colu
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], ["doc_id", "label", "x"])
 
     sample = labelled_sample(docs, labels, column, max_labelled, where)
-    rows = sample.mapInArrow(encode, "doc_id bigint, label int, x array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    rows = sample.mapInArrow(lean(encode), "doc_id bigint, label int, x array<float>").toArrow().sort_by("doc_id").combine_chunks()
     bags = rows.column("x").combine_chunks()
     sizes = np.diff(bags.offsets.to_numpy()) // N_FEATURES
     x = bags.flatten().to_numpy().reshape(-1, N_FEATURES)
@@ -173,4 +173,4 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
         for batch, data, offsets in text_chunks(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(*passages(data, offsets)))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, score double")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id bigint, score double")

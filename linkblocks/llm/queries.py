@@ -40,14 +40,14 @@ WITH t AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), o AS (
-  SELECT *, role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS opens,
+  SELECT *, role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS opens,
          length({_ESCAPE.format("role")}) AS role_chars, length({_ESCAPE.format("text")}) AS text_chars
   FROM t
 )
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(text_chars + CASE WHEN opens THEN role_chars + {len(chat.TURN) + len(chat.TEXT) + len(chat.END)} ELSE {len(chat.NEXT)} END)::BIGINT AS formatted_chars
 FROM o GROUP BY conv_id
 """
@@ -56,7 +56,9 @@ FROM o GROUP BY conv_id
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts = materialize(lm_score.count_words(docs), "counts")
-    return lm_score.score(docs, lm_score.train(docs, lm_score.corpus_vocabulary(docs, counts=counts)), counts)
+    vocabulary = lm_score.corpus_vocabulary(docs, counts=counts)
+    coded, units = lm_score.encode(docs, vocabulary)
+    return lm_score.score_coded(coded, lm_score.train(coded, units, vocabulary), counts)
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,17 +76,18 @@ def op4_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = rf"""
-WITH w AS (SELECT doc_id, unnest({_WORDS}) AS t FROM documents WHERE doc_id IS NOT NULL),
-n AS (SELECT count(*) AS docs, (SELECT count(*) FROM w) / count(*) AS mean FROM documents WHERE doc_id IS NOT NULL),
-tf AS (SELECT doc_id, t, count(*) AS c FROM w GROUP BY ALL),
-dl AS (SELECT doc_id, sum(c) AS l FROM tf GROUP BY doc_id),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE doc_id IS NOT NULL),
+w AS (SELECT r, doc_id, unnest({_WORDS}) AS t FROM d),
+n AS (SELECT count(*) AS docs, (SELECT count(*) FROM w) / count(*) AS mean FROM d),
+tf AS (SELECT r, doc_id, t, count(*) AS c FROM w GROUP BY ALL),
+dl AS (SELECT r, sum(c) AS l FROM tf GROUP BY r),
 df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
-q AS (SELECT doc_id AS query_id, t, c * ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS w FROM tf JOIN df USING (t), n WHERE doc_id % 50 = 0),
+q AS (SELECT doc_id AS query_id, t, sum(c) * ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS w FROM tf JOIN df USING (t), n WHERE doc_id % 50 = 0 GROUP BY doc_id, t, docs, df),
 s AS (
-  SELECT query_id, doc_id, round(sum(w * (c * 2.2::DOUBLE / (c + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean)))), 6) AS score
-  FROM q JOIN tf USING (t) JOIN dl USING (doc_id), n GROUP BY query_id, doc_id
-), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
-SELECT * FROM r WHERE rank <= 10
+  SELECT query_id, r, doc_id, round(sum(w * (c * 2.2::DOUBLE / (c + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean)))), 6) AS score
+  FROM q JOIN tf USING (t) JOIN dl USING (r), n GROUP BY query_id, r, doc_id
+), o AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM o WHERE rank <= 10
 """
 
 
@@ -98,21 +101,21 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = rf"""
-WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item_id, {_WORDS} AS w FROM benchmark),
 iw AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, p, p + least(len(w), 10) - 1), ' ') AS g
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM i WHERE len(w) > 0)
 ), sizes AS (SELECT DISTINCT n FROM iw),
 dw AS (
-  SELECT doc_id, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS g
-  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)
-), m AS (SELECT dw.doc_id, dw.n, dw.p, iw.item_id FROM dw JOIN iw USING (n, g)),
-hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM m) GROUP BY doc_id)
+  SELECT r, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS g
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)
+), m AS (SELECT dw.r, dw.n, dw.p, iw.item_id FROM dw JOIN iw USING (n, g)),
+hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM m) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n_hit, 0)::BIGINT AS n_hit, coalesce(its.n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 """
 
 

@@ -56,6 +56,31 @@ def test_words_and_hashes_equal_the_pattern():
         assert got == [tokens(t) for t in texts]
 
 
+def thue_morse(n, a, b):
+    """Equal under every polynomial hash modulo 2^64, for texts of 1,024 letters and more."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(a if x == 0 else b for x in bits), "".join(b if x == 0 else a for x in bits)
+
+
+def test_words_that_collide_under_polynomials_have_hashes_of_their_own(spark):
+    one, other = thue_morse(4096, "a", "b")
+    raw = np.frombuffer((one + " " + other).encode(), np.uint8)
+    got = words.hashes(raw, np.array([0, 4097]), np.array([4096, 8193]))
+    assert got[0] != got[1]
+    rng = np.random.default_rng(7)
+    spans = {bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in rng.integers(1, 40, 20_000)}
+    each = [words.hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0] for x in spans]
+    assert len(set(each)) == len(spans)
+    enc = Encoder(token_store.default_tokenizer())
+    for _, data, offsets in common.text_chunks(iter(pa.table({"text": [one, other, "c" * 15, "c" * 16, "c" * 14 + "\x00"]}).to_batches())):
+        ids, at = enc.encode(data, offsets)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [enc.encode_text(t) for t in (one, other, "c" * 15, "c" * 16, "c" * 14 + "\x00")]
+    docs = docs_of(spark, [one, other, one])
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()} == {0: 0, 1: 1, 2: 0}
+    queries = docs.filter("doc_id = 1").withColumnRenamed("doc_id", "query_id")
+    assert [r["doc_id"] for r in search.top_k(docs, queries).collect()] == [1]
+
+
 # ---- 1 chat
 
 
@@ -78,40 +103,108 @@ def test_chat_round_trip_and_mask(spark):
     assert chat.format_chat(turns_frame(spark, [])).count() == 0
 
 
+def test_chat_ties_and_missing_turns_follow_the_raw_texts(spark):
+    rows = [(1, 4, "user", "<|end|>", 0), (1, 4, "user", "<a", 0), (1, None, "user", "z", 0), (1, 4, "<|x|>", "m", 0), (1, 4, "<a", "m", 0)]
+    got = chat.read_chat(chat.format_chat(turns_frame(spark, rows))).first()
+    assert [(t["role"], t["text"]) for t in got["turns"]] == [("user", "z"), ("<a", "m"), ("<|x|>", "m"), ("user", "<a"), ("user", "<|end|>")]
+
+
 # ---- 2 language model
 
 
-def test_lm_scores_equal_a_loop_and_prefer_real_order(spark, small):
-    docs = docs_of(spark, [*small, None, ""])
-    vocabulary = lm_score.corpus_vocabulary(docs, size=200, buckets=64)
-    counts = Counter(w for t in small for w in tokens(t))
-    network = lm_score.train(docs, vocabulary, rounds=2)
-    got = {r["doc_id"]: r for r in lm_score.score(docs, network).collect()}
-    assert sum(r["n_words"] for r in got.values()) == sum(counts.values())
-    assert got[len(small)]["mean_log_prob"] is None and got[len(small) + 1]["log_prob"] == 0
+def lm_of(docs, size, buckets, rounds, unit_words=lm_score.UNIT_WORDS, counts=None):
+    vocabulary = lm_score.corpus_vocabulary(docs, size=size, buckets=buckets, counts=counts)
+    coded, units = lm_score.encode(docs, vocabulary, unit_words)
+    return vocabulary, coded, lm_score.train(coded, units, vocabulary, rounds)
+
 
-    def encode(t):
-        raw = [np.frombuffer(w.encode(), np.uint8) for w in tokens(t)]
-        return [int(vocabulary.encode(words.hashes(x, np.array([0]), np.array([len(x)])))[0]) for x in raw]
+def lm_ids(vocabulary, text):
+    raw = [np.frombuffer(w.encode(), np.uint8) for w in tokens(text)]
+    return [int(vocabulary.encode(words.hashes(x, np.array([0]), np.array([len(x)])))[0]) for x in raw]
 
-    ids = encode(small[3])
-    total = 0.0
+
+def loop_log_probabilities(network, ids):
+    """The softmax of every digit, word by word."""
+    v, out = network.vocabulary, []
     for i, own in enumerate(ids):
         h = network.bias.astype(float).copy()
         for table, k in zip(network.tables, lm_score.OFFSETS, strict=True):
-            h += table[ids[i + k] if 0 <= i + k < len(ids) else vocabulary.n_ids]
-        z = np.tanh(h) @ network.out.astype(float) + vocabulary.prior
-        total += z[vocabulary.classes[own]] - np.log(np.exp(z).sum()) + vocabulary.inside[own]
-    assert got[3]["log_prob"] == pytest.approx(total, rel=1e-4)
-    fresh = lm_score.Network(vocabulary)
-    mean = lambda net: np.mean([net.log_probabilities(np.array(encode(t)), np.array([0, len(tokens(t))])).mean() for t in small[:40] if tokens(t)])
-    assert mean(network) > mean(fresh)
+            h += table[ids[i + k] if 0 <= i + k < len(ids) else v.n_ids]
+        total, before = 0.0, 0
+        for level in range(3):
+            digit = own // v.branch ** (2 - level) % v.branch
+            z = np.tanh(h) @ network.out[level][before].astype(float) + v.priors[level][before]
+            total += z[digit] - np.log(np.exp(z).sum())
+            before = before * v.branch + digit
+        out.append(total)
+    return out
+
+
+def test_lm_scores_equal_a_loop_and_prefer_real_order(spark, small):
+    texts = [*small, None, "", "long " * 40_000, small[3]]
+    docs = docs_of(spark, texts, extra=True)
+    docs = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("bigint")))
+    vocabulary, _, network = lm_of(docs, 200, 64, 2)
+    rows = lm_score.score(docs, network).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == len(texts) + 1 and sum(r["n_words"] for r in rows if r["doc_id"] is not None) == sum(len(tokens(t)) for t in texts)
+    assert got[len(small)]["mean_log_prob"] is None and got[len(small) + 1]["log_prob"] == 0
+    for k in (3, 7):
+        assert got[k]["log_prob"] == pytest.approx(sum(loop_log_probabilities(network, lm_ids(vocabulary, small[k]))), rel=1e-4)
+    assert got[3]["log_prob"] == pytest.approx(got[len(small) + 3]["log_prob"]) and got[None]["log_prob"] == pytest.approx(got[0]["log_prob"])
+    mean = lambda net, turn: np.mean([net.log_probabilities(np.array(lm_ids(vocabulary, t))[::turn], np.array([0, len(tokens(t))])).mean() for t in small[:40] if tokens(t)])
+    assert mean(network, 1) > mean(lm_score.Network(vocabulary), 1)
     assert lm_score.score(docs_of(spark, []), network).count() == 0
 
 
+def test_lm_probabilities_sum_to_one_and_gradient_is_right():
+    rng = np.random.default_rng(0)
+    v = lm_score.build_vocabulary(np.sort(rng.integers(1, 2**62, 20).astype(np.uint64)), rng.integers(1, 50, 20), np.array([4.0, 0, 7, 1]))
+    net = lm_score.Network(v)
+    net.flat += rng.normal(0, 0.3, len(net.flat)).astype(np.float32)
+    every = np.arange(v.n_ids)
+    near = np.repeat(rng.integers(0, v.n_ids + 1, 4)[:, None], v.n_ids, axis=1)
+    p = np.ones(v.n_ids)
+    for k in range(3):
+        z, digit, _, _ = net.level(k, net.hidden(near), every)
+        p *= z[every, digit]
+    assert p.sum() == pytest.approx(1, rel=1e-4)
+    ids = rng.integers(0, v.n_ids, 30)
+    bounds = np.array([0, 11, 11, 30])
+    near = net.contexts(ids, bounds)
+    assert near[:, 0].tolist()[:2] == [v.n_ids, v.n_ids] and near[2, 10] == v.n_ids and near[1, 12] == ids[11]
+    gradient, loss = net.gradient(ids, near), lambda: -net.log_probabilities(ids, bounds).sum()
+    for at in rng.choice(np.flatnonzero(gradient), 25, replace=False):
+        old = net.flat[at]
+        net.flat[at] = old + 1e-2
+        up = loss()
+        net.flat[at] = old - 1e-2
+        down = loss()
+        net.flat[at] = old
+        assert gradient[at] == pytest.approx((up - down) / 2e-2, abs=2e-2)
+
+
+def test_lm_one_round_equals_a_loop_of_steps(spark, small):
+    """Copies of two units, averaged by words: the same as learning them one after another by hand."""
+    docs = docs_of(spark, small[:40])
+    vocabulary = lm_score.corpus_vocabulary(docs, size=100, buckets=16)
+    coded, units = lm_score.encode(docs, vocabulary, sum(len(tokens(t)) for t in small[:40]) // 2)
+    assert units == 2
+    got = lm_score.train(coded, 1, vocabulary, 1)  # both units in one round
+    flat, total = 0.0, 0
+    rows = coded.orderBy("row").collect()
+    for unit in range(2):
+        texts = [np.frombuffer(r["ids"], np.uint16).astype(int) for r in rows if r["unit"] == unit and r["ids"]]
+        net = lm_score.Network(vocabulary)
+        ids, bounds = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+        net.learn(ids, bounds, np.zeros_like(net.flat))
+        flat, total = flat + len(ids) * net.flat.astype(float), total + len(ids)
+    assert got.flat == pytest.approx(flat / total, abs=1e-5)
+
+
 def test_lm_without_any_text(spark):
     empty = docs_of(spark, [None])
-    net = lm_score.train(empty, lm_score.corpus_vocabulary(empty))
+    _, _, net = lm_of(empty, 8192, 1024, 1)
     assert lm_score.score(empty, net).first()["n_words"] == 0
 
 
@@ -119,19 +212,15 @@ def test_lm_scores_every_word_by_its_own_count(spark, small):
     texts = [*small[:30], "a b zebra c d", "a b yak c d", *["yak"] * 20, None]
     docs = docs_of(spark, texts, extra=True)
     counts = lm_score.count_words(docs)
-    network = lm_score.train(docs, vocabulary := lm_score.corpus_vocabulary(docs, size=20, buckets=1, counts=counts), rounds=1)
+    vocabulary, _, network = lm_of(docs, 20, 1, 1, counts=counts)
     n = Counter(w for t in texts for w in tokens(t))
     got = {r["doc_id"]: r for r in lm_score.score(docs, network, counts).collect()}
     assert len(got) == len(texts) and got[len(texts) - 1]["mean_log_prob"] is None
-    assert got[31]["log_prob"] - got[30]["log_prob"] == pytest.approx(np.log(n["yak"] / n["zebra"]))
-    log_class = vocabulary.mass - vocabulary.inside
+    assert got[31]["log_prob"] - got[30]["log_prob"] == pytest.approx(np.log(n["yak"] / n["zebra"]), abs=1e-5)
     for k in (0, 7, 30):
-        raw = [np.frombuffer(w.encode(), np.uint8) for w in tokens(texts[k])]
-        ids = np.array([int(vocabulary.encode(words.hashes(x, np.array([0]), np.array([len(x)])))[0]) for x in raw])
-        rare = ids >= len(vocabulary.ids)
-        each = network.log_probabilities(ids, np.array([0, len(ids)])) - vocabulary.inside[ids]
-        own = np.where(rare, np.log([n[w] for w in tokens(texts[k])]), vocabulary.mass[ids]) - log_class[ids]
-        assert rare.any() and got[k]["log_prob"] == pytest.approx((each + own).sum(), rel=1e-5)
+        ids = lm_ids(vocabulary, texts[k])
+        own = [np.log(n[w]) - vocabulary.mass[i] if i in vocabulary.buckets else 0 for w, i in zip(tokens(texts[k]), ids, strict=True)]
+        assert any(own) and got[k]["log_prob"] == pytest.approx(sum(loop_log_probabilities(network, ids)) + sum(own), rel=1e-4)
 
 
 def test_lm_scores_do_not_depend_on_partitions(spark, small):
@@ -139,11 +228,20 @@ def test_lm_scores_do_not_depend_on_partitions(spark, small):
     out = []
     for n in (1, 24):
         dealt = docs.repartition(n)
-        network = lm_score.train(dealt, lm_score.corpus_vocabulary(dealt, size=200, buckets=64), rounds=2, unit_words=3000)
-        out.append([r["log_prob"] for r in lm_score.score(dealt, network).orderBy("doc_id").collect()])
+        _, coded, network = lm_of(dealt, 200, 64, 2, unit_words=3000)
+        out.append([r["log_prob"] for r in lm_score.score_coded(coded, network).orderBy("doc_id").collect()])
     assert out[0] == pytest.approx(out[1], rel=1e-4)
 
 
+def test_lm_copies_are_averaged_by_a_tree(spark):
+    rows = [(s, float(c + 1), c, np.full(3, c * 10 + s, np.float32).tobytes()) for s in range(lm_score.SLICES) for c in range(9)]
+    copies = spark.createDataFrame(rows, "slice int, n double, copy int, values binary")
+    got = lm_score._averaged(lm_score._averaged(copies, F.col("copy") % 3, 3), F.lit(0), 1).collect()
+    assert len(got) == lm_score.SLICES
+    for r in got:
+        assert np.frombuffer(r["values"], np.float32) == pytest.approx(sum((c + 1) * (c * 10 + r["slice"]) for c in range(9)) / 45)
+
+
 # ---- 3 mixing
 
 
@@ -241,25 +339,55 @@ def brute_bm25(texts, queries, k):
     return out
 
 
-@pytest.mark.parametrize("shard, part", [(1 << 14, 1 << 12), (1 << 25, 1 << 24)])
-def test_search_equals_brute_force(spark, small, shard, part):
+@pytest.mark.parametrize("shard, group", [(1 << 14, 3), (1 << 25, 1)])
+def test_search_equals_brute_force(spark, small, shard, group):
     texts = [*small, *ODD]
     docs = docs_of(spark, texts, extra=True)
     asked = [0, 7, 50, 100, len(small) + 3, len(small) + 7, len(small)]
     queries = docs.filter(F.col("doc_id").isin(asked)).withColumnRenamed("doc_id", "query_id")
-    got = {(r["query_id"], r["rank"], r["doc_id"]) for r in search.top_k(docs, queries, 5, shard, part).collect()}
+    got = {(r["query_id"], r["rank"], r["doc_id"]) for r in search.top_k(docs, queries, 5, shard, group).collect()}
     assert got == brute_bm25(texts, asked, 5)
 
 
-def test_search_skips_blocks(small):
-    texts = small * 4
-    table = pa.table({"text": texts})
-    held = [search.terms(data, offsets) for _, data, offsets in common.text_chunks(iter(table.to_batches()), limit=1 << 30)]
-    word, n, row, length = held[0]
-    shard = search.Shard.load(search.Shard(np.arange(len(texts)), word, n, row, length, length.mean()).dump())
-    rare = np.array([w for w, c in Counter(word.tolist()).items() if c == 4][:2], np.uint64)
-    ids, _, opened = shard.top(rare, np.ones(len(rare)), 2)
-    assert len(ids) == 2 and opened < shard.n_blocks
+def test_search_repeated_and_missing_ids(spark):
+    rows = [(1, "x y"), (1, "x z"), (None, "x"), (2, "z z q")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    queries = spark.createDataFrame([(5, "x"), (5, "z"), (None, "x"), (6, "nothing"), (7, None)], "query_id bigint, text string")
+    got = search.top_k(docs, queries, 3).collect()
+    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in got) == [(5, 1, 1), (5, 2, 2), (5, 3, 1)]  # two rows of doc 1, each by itself
+
+
+def test_search_skips_and_stays_exact(small):
+    """Block-max WAND reads a part of the postings and finds what a full scan finds, with a threshold from other shards too."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join([f"t{i % 16}"] * 6 + [f"t{i % 16}w{x}" for x in rng.zipf(1.3, 30) % 300] + [f"w{x}" for x in rng.zipf(1.3, 30) % 3000]) for i in range(4000)]
+    made = []
+    for part in (texts[:2500], texts[2500:]):
+        for batch, data, offsets in common.text_chunks(iter(pa.table({"text": part}).to_batches()), limit=1 << 30):
+            word, n, row, length = search.terms(data, offsets)
+            made.append(search.Shard(search.Shard.dump(np.arange(len(batch)) + 2500 * len(made), word, n, row, length), 60.0))
+    df = Counter(w for t in texts for w in set(t.split()))
+    total = 0
+    for q in range(6):
+        some = sorted(set(texts[q].split()), key=df.get)[:: 1 if q < 2 else 4]
+        raw = np.frombuffer(" ".join(some).encode(), np.uint8)
+        term, _, _, _ = search.terms(raw, np.array([0, len(raw)]))
+        idf = {int(search.terms(x := np.frombuffer(w.encode(), np.uint8), np.array([0, len(x)]))[0][0]): np.log(1 + 4000 / df[w]) for w in some}
+        weight = np.array([idf[int(t)] for t in term])
+        best, read, scores = search.Best(10), 0, []
+        for shard in made:
+            read += shard.search(term, weight, best)
+            at = np.searchsorted(shard.vocabulary, term)
+            w = np.zeros(len(shard.vocabulary))
+            known = (at < len(w)) & (shard.vocabulary[np.minimum(at, len(w) - 1)] == term)
+            w[at[known]] = weight[known]
+            of = np.repeat(np.arange(len(w)), np.add.reduceat(np.diff(shard.first), shard.enter[:-1]))
+            scores.append((np.bincount(shard.doc, w[of] * shard.impact, len(shard.doc_ids)), shard.doc_ids, int((w[of] > 0).sum())))
+        all_scores, ids = np.round(np.concatenate([s for s, _, _ in scores]), 6), np.concatenate([i for _, i, _ in scores])
+        want = np.lexsort((ids, -all_scores))[:10]
+        assert best.ids.tolist() == ids[want].tolist() and best.scores == pytest.approx(all_scores[want])
+        total += read / sum(n for _, _, n in scores)
+    assert total / 6 < 0.8
 
 
 def test_search_of_nothing(spark):
