@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import text_chunks
+from .common import chunked_array, lean, text_chunks
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -194,7 +194,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
                 ["doc_id", "n_words", "n_hit", "items", "spans", "longest"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(match, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(match), schema)
 
 
 def items_digest(items: list[str]) -> str:
@@ -208,7 +208,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_co
     what stands between them; what comes together is scanned again until
     nothing is found. A document of whose words more than `max_coverage` are
     inside windows is dropped. Where there is an n_chars column it follows the
-    new text. Untouched rows, nulls included, stay as they are.
+    new text. Untouched rows, nulls included, stay as they are. Only texts go to
+    Python, and only those that change come back.
     """
     shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, window))
     counted = "n_chars" in docs.columns
@@ -229,27 +230,24 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_co
                 at = ends[b - 1]
             text = b"".join([*parts, raw[at:].tobytes()]).decode()
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def remove(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = shared.value
-        for batch, data, offsets in text_chunks(batches):
-            dirty = automaton.scan(data, offsets)[4]
-            if dirty:
-                text = batch.column("text").to_pylist()
-                gone = set()
-                for row in dirty:
-                    text[row] = clean(text[row], automaton)
-                    if text[row] is None:
-                        gone.add(row)
-                at = batch.schema.names.index("text")
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(text, batch.schema.field(at).type))
-                if counted:
-                    at = batch.schema.names.index("n_chars")
-                    counts = batch.column("n_chars").to_pylist()
-                    for row in dirty:
-                        counts[row] = None if text[row] is None else len(text[row])
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(counts, batch.schema.field(at).type))
-                if gone:
-                    batch = batch.filter(pa.array([r not in gone for r in range(len(batch))]))
-            yield batch
-
-    return docs.mapInArrow(remove, docs.schema)
+
+        def kernel(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+            n = len(offsets) - 1
+            touched, text = np.zeros(n, bool), [None] * n
+            for row in automaton.scan(data, offsets)[4]:
+                touched[row], text[row] = True, clean(data[offsets[row] : offsets[row + 1]].tobytes().decode(), automaton)
+            return pa.StructArray.from_arrays([pa.array(touched), pa.array(text, pa.string())], ["touched", "text"])
+
+        yield from chunked_array(texts, kernel)
+
+    # not deterministic: else the filter below would be pushed down with a copy of the function
+    cut = F.arrow_udf(remove, "touched boolean, text string").asNondeterministic()
+    made = docs.withColumn("_cut", cut(F.col("text").cast("string"))).filter("not _cut.touched or _cut.text is not null")
+    touched = F.col("_cut.touched")
+    kinds = {f.name: f.dataType for f in docs.schema}
+    new = {"text": F.when(touched, F.col("_cut.text").cast(kinds["text"])).otherwise(F.col("text"))}
+    if counted:
+        new["n_chars"] = F.when(touched, F.char_length("_cut.text").cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
+    return made.withColumns(new).select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import text_chunks
+from .common import chunked_array, lean, text_chunks
 from .labelled import labelled_sample
 
 GRADES = 3
@@ -81,7 +81,7 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Learn from at most `max_labelled` labelled rows. Without both labels the model calls everything clean."""
     sample = labelled_sample(docs, labels, "toxic", max_labelled)
-    return fit_arrays(*compact(sample.mapInArrow(word_counts, "doc_id bigint, label int, words array<bigint>, counts array<int>").toArrow()))
+    return fit_arrays(*compact(sample.mapInArrow(lean(word_counts), "doc_id bigint, label int, words array<bigint>, counts array<int>").toArrow()))
 
 
 def compact(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,15 +157,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             above = shared.value.above(shared.value.link(data, offsets))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5)], ["doc_id", "severity", "p_toxic", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, severity double, p_toxic double, toxic boolean")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id bigint, severity double, p_toxic double, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, whose p_toxic is below 0.5."""
+    """The rows of docs, all columns, whose p_toxic is below 0.5. Only texts go to Python and only flags come back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in text_chunks(batches):
-            yield batch.filter(pa.array(shared.value.above(shared.value.link(data, offsets))[:, 0] < 0.5))
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from chunked_array(texts, lambda data, offsets: pa.array(shared.value.above(shared.value.link(data, offsets))[:, 0] < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(F.arrow_udf(clean, "boolean")(F.col("text").cast("string")))
