@@ -15,6 +15,7 @@ Inside a component similarities are then computed exactly.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import materialize, text_chunks
-from .components import components
+from .common import lean, materialize, text_chunks
+from .components import components, join_facts
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -32,6 +33,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 48, 7
 #: Shingles of a component that one task compares; larger ones are compared in pairs of blocks.
 BLOCK_SHINGLES = 2_000_000
+#: Text that is sketched at once; its darts take some hundred times as much.
+SKETCH_BYTES = 1 << 18
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
@@ -104,37 +107,37 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return words.mix(out + np.arange(1, bands + 1, dtype=_U))
 
 
+def exact_ids(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(rows, 2): 128-bit BLAKE2 digests of each text's words in order, one blank between them; of the bytes, for a text without words."""
+    _, ends, bounds = words.spans(data, offsets)
+    low, keep = words.LOWER[data], words.IS_WORD[data]
+    inner = np.ones(len(ends), bool)
+    inner[bounds[1:][np.diff(bounds) > 0] - 1] = False  # a row's last word needs no blank
+    keep[ends[inner]], low[ends[inner]] = True, 32
+    at, plain = np.concatenate([[0], np.cumsum(keep)])[offsets].tolist(), low[keep].tobytes()
+    digests = [hashlib.blake2b(plain[a:b], digest_size=16, person=b"words") if a < b else hashlib.blake2b(data[offsets[r] : offsets[r + 1]].tobytes(), digest_size=16, person=b"bytes") for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
+    return np.frombuffer(b"".join(d.digest() for d in digests), np.int64).reshape(-1, 2)
+
+
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, same_a, same_b (128-bit hash of the words in order), n_shingles, keys of each row.
+    """doc_id, same_a, same_b (exact_ids), n_shingles, keys of each row.
 
-    A text without words is hashed by its bytes and has no keys: it equals only the same text.
+    A text without words has no keys: it equals only the same text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in text_chunks(batches):
-            n = len(batch)
-            starts, ends, bounds = words.spans(data, offsets)
-            hashed, of = words.hashes(data, starts, ends), words.row_of(bounds)
-            same = []
-            for salt in (1, 2):
-                place = words.mix((np.arange(len(of)) - bounds[:-1][of] + 1).astype(_U) * _U(2 * salt + 1) + _U(salt))
-                sums = np.concatenate([np.zeros(1, _U), np.cumsum(words.mix(hashed + _U(salt)) * place)])
-                same.append(words.mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(_U)))
-            bare = np.flatnonzero(np.diff(bounds) == 0)
-            if len(bare):
-                whole = words.hashes(data, offsets[:-1][bare], offsets[1:][bare])
-                for i in range(2):
-                    same[i][bare] = words.mix(whole + _U(77 + i))
+        for batch, data, offsets in text_chunks(batches, limit=SKETCH_BYTES):
+            n, same = len(batch), exact_ids(data, offsets)
             shingle, count, row = bag(data, offsets)
             keys = band_keys(signatures(shingle, count, row, n, bands * rows), bands, rows)
-            some = np.diff(bounds) > 0
+            some = np.bincount(row, minlength=n) > 0
             at = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(same[0].view(np.int64)), pa.array(same[1].view(np.int64)), pa.array(np.bincount(row, count, n).astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel().view(np.int64)))],
+                [batch.column("doc_id"), pa.array(same[:, 0].copy()), pa.array(same[:, 1].copy()), pa.array(np.bincount(row, count, n).astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel().view(np.int64)))],
                 ["doc_id", "same_a", "same_b", "n_shingles", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).filter("doc_id is not null").mapInArrow(run, "doc_id bigint, same_a bigint, same_b bigint, n_shingles bigint, keys array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).filter("doc_id is not null").mapInArrow(lean(run), "doc_id bigint, same_a bigint, same_b bigint, n_shingles bigint, keys array<bigint>")
 
 
 def similar_trees(element: np.ndarray, count: np.ndarray, row: np.ndarray, n: int, threshold: float) -> np.ndarray:
@@ -214,7 +217,7 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield edges(held)
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK_SHINGLES) -> DataFrame:
@@ -228,8 +231,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     texts = materialize(texts, "texts")
     copies = seen.join(texts, ["same_a", "same_b"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     own = seen.join(texts, ["same_a", "same_b"]).filter("doc_id = rep").select("doc_id", F.explode("keys").alias("key"))
-    heads = own.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head <> last").select("key", "head")
-    coarse = components(own.join(heads, "key").filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
+    heads = own.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("head <> last").select("key", "head", "n")
+    heads = materialize(heads, "heads")
+    coarse = components(join_facts(own, heads, "key", texts.count() * bands).filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
     members = coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct())
     sized = members.join(seen.select("doc_id", "n_shingles"), F.col("node") == F.col("doc_id"))
     totals = sized.groupBy("root").agg(F.sum("n_shingles").alias("total")).select("root", F.ceil(F.col("total") / block).cast("int").alias("blocks"))
