@@ -19,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, text_chunks
+from .common import lean, scratch_dir, text_chunks
 from .tokenize import encoder
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 #: Text that one file's documents hold together, about.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 256 << 20
+#: Text that is encoded at once.
+ENCODE_BYTES = 1 << 19
 
 
 def default_tokenizer() -> str:
@@ -42,11 +44,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0) ->
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in text_chunks(batches):
+        for batch, data, offsets in text_chunks(batches, limit=ENCODE_BYTES):
             ids, at = encoder(tokenizer).encode(data, offsets, end_id)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(encode, "doc_id bigint, n_tokens bigint, ids array<int>")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(encode), "doc_id bigint, n_tokens bigint, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int | None = 0, files: int | None = None) -> str:
@@ -54,15 +56,20 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
 
     Range partitioning puts equal ids into one file, so the order of files and
     of rows in them is the order of doc_id: nulls first, repeated ids by text.
-    `shard` numbers the files' ranges. An empty table makes an empty data set.
+    `shard` numbers the files' ranges; a range is one file whatever its rows.
+    There are as many as shuffle partitions, more where a file would hold over
+    FILE_BYTES of text. An empty table makes an empty data set.
     """
     spark = docs.sparkSession
     path = path or f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
     docs = docs.select("doc_id", "text")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     ranged = docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     rows = encode_documents(ranged, tokenizer or default_tokenizer(), end_id).withColumn("shard", F.spark_partition_id())
     options = {
+        "maxRecordsPerFile": "0",  # token_index counts rows within a shard's one file
         "compression": "zstd",
         "parquet.writer.version": "v2",
         "parquet.enable.dictionary": "true",
@@ -111,7 +118,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
     stored = spark.read.schema(SCHEMA).parquet(path)
     # files are read in pieces; a row's position inside its file keeps repeated ids in the order written
-    rows = stored.select("shard", F.col("_metadata.row_index").alias("row"), "doc_id", "ids").mapInArrow(digest, "shard int, row bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = stored.select("shard", F.col("_metadata.row_index").alias("row"), "doc_id", "ids").mapInArrow(lean(digest), "shard int, row bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint")
     totals = read_metadata(spark, path).groupBy("shard").agg(F.sum("n_tokens").alias("in_shard"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("shard", F.coalesce(F.sum("in_shard").over(before), F.lit(0)).alias("base"))
