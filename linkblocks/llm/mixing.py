@@ -2,32 +2,28 @@
 
 The tokens of each cell (source, language, topic) are scaled until every
 source, language and topic has its target share of tokens; a document is kept
-with the probability that its cell's scaling asks for. Documents are read
-twice: once for the cells' totals, once to be sampled.
-
-Two fits: the plain one rakes first and then raises all weights, at most to 1,
-until the budget is full, which misses the shares wherever cells end at 1; the
-bounded one holds probabilities at 1 within the raking, so the kept tokens have
-the target shares. A value that has fewer tokens than its share of the budget
-is kept whole, and the others keep their proportions.
+with the probability that its cell's scaling asks for. Probabilities are held
+at 1 within the raking, so the kept tokens have the target shares. A value that
+has fewer tokens than its share of the budget is kept whole, and the others
+keep their proportions. Documents are read twice: once for the cells' totals,
+once to be sampled.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, unit_hash
+from .components import join_facts
 
 MARGINS = ("source", "lang", "topic")
 #: A target share is the observed share to this power (1: as it is, 0: all equal), unless shares are given.
 TEMPER = 0.5
 #: Expected share of all tokens that is kept.
 BUDGET = 0.5
-ITERATIONS = 25
-#: Rounds of the bounded fit, which nears its targets more slowly.
-BOUNDED_ITERATIONS = 200
+ITERATIONS = 200
 #: Cells fitted in one process; more are fitted by the same rules as a distributed job.
 MAX_LOCAL_CELLS = 100_000
 SEED = "mix"
@@ -58,16 +54,6 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *[c.alias(m) for m, c in _cell().items()], count.alias("n_tokens"))
 
 
-def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], iterations: int = ITERATIONS) -> np.ndarray:
-    """Weights of cells: tokens * weight has the target total in each value of each margin, the last margin exactly."""
-    weight = np.ones(len(tokens))
-    for _ in range(iterations):
-        for code, target in zip(codes, targets, strict=True):
-            now = np.bincount(code, tokens * weight, len(target))
-            weight = weight * np.divide(target, now, out=np.zeros(len(target)), where=now > 0)[code]
-    return weight
-
-
 def _shares(total: np.ndarray, given: dict[str, float] | None, names: list[str], temper: float) -> np.ndarray:
     raw = np.array([given.get(n, 0.0) for n in names]) if given is not None else total / max(total.sum(), 1e-300)
     raw = np.where(total > 0, raw if given is not None else np.power(raw, temper), 0)
@@ -95,7 +81,7 @@ def attainable(totals: list[np.ndarray], wanted: list[np.ndarray], budget: float
     return [t * probabilities(t, r, budget) for t, r in zip(totals, ratio, strict=True)]
 
 
-def rake_bounded(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], budget: float, iterations: int = BOUNDED_ITERATIONS) -> np.ndarray:
+def rake(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], budget: float, iterations: int = ITERATIONS) -> np.ndarray:
     """Probabilities of cells: tokens * probability has the goal in each value of each margin, as far as cells allow it."""
     weight = np.full(len(tokens), budget)
     for _ in range(iterations):
@@ -105,16 +91,15 @@ def rake_bounded(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.nda
     return np.minimum(1, weight)
 
 
-def fit_cells(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, iterations: int | None = None, max_local: int = MAX_LOCAL_CELLS, bounded: bool = False) -> DataFrame:
+def fit_cells(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, iterations: int = ITERATIONS, max_local: int = MAX_LOCAL_CELLS) -> DataFrame:
     """source, lang, topic, probability of each cell, from their tokens.
 
     A value that is missing from given targets has target 0, so its documents
     go; targets of values that do not occur are spread over the others.
     """
     spark, targets = cells.sparkSession, targets or {}
-    iterations = iterations if iterations is not None else BOUNDED_ITERATIONS if bounded else ITERATIONS
     if cells.count() > max_local:
-        return _fit_distributed(cells, targets, temper, budget, iterations, bounded)
+        return _fit_distributed(cells, targets, temper, budget, iterations)
     rows = cells.orderBy(*MARGINS).collect()
     tokens = np.array([float(r["tokens"]) for r in rows])
     codes, totals, wanted = [], [], []
@@ -124,12 +109,7 @@ def fit_cells(cells: DataFrame, targets: dict[str, dict[str, float]] | None = No
         codes.append(np.array([at[r[m]] for r in rows], np.int64))
         totals.append(np.bincount(codes[-1], tokens, len(names)))
         wanted.append(_shares(totals[-1], targets.get(m), names, temper) * tokens.sum())
-    if not len(rows):
-        p = np.empty(0)
-    elif bounded:
-        p = rake_bounded(tokens, codes, attainable(totals, wanted, budget), budget, iterations)
-    else:
-        p = probabilities(tokens, rake(tokens, codes, wanted, iterations), budget)
+    p = rake(tokens, codes, attainable(totals, wanted, budget), budget, iterations) if len(rows) else np.empty(0)
     return spark.createDataFrame([(*(r[m] for m in MARGINS), float(x)) for r, x in zip(rows, p, strict=True)], "source string, lang string, topic string, probability double")
 
 
@@ -145,44 +125,34 @@ def _scale(frame: DataFrame, have: Column, want: Column, total: float) -> float:
     return high
 
 
-def _fit_distributed(cells: DataFrame, targets: dict[str, dict[str, float]], temper: float, budget: float, iterations: int, bounded: bool = False) -> DataFrame:
-    """The same fit with cells in a frame: sums by window over each margin, lineage cut after every round."""
+def _fit_distributed(cells: DataFrame, targets: dict[str, dict[str, float]], temper: float, budget: float, iterations: int) -> DataFrame:
+    """The same fit with cells and margins in frames: sums by value, joined back; lineage cut after every round."""
     spark = cells.sparkSession
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    frame = cells.withColumn("weight", F.lit(1.0))
+    total, n = cells.agg(F.sum("tokens"), F.count(F.lit(1))).first()
+    total, wanted = float(total or 0), budget * float(total or 0)
+    values = {}
     for m in MARGINS:
-        own = F.sum("tokens").over(Window.partitionBy(m))
+        own = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("own"), F.count(F.lit(1)).alias("n"))
         if m in targets:
-            pairs = spark.createDataFrame([(k, float(v)) for k, v in targets[m].items()], f"{m} string, raw double")
-            frame = frame.withColumn("own", own).join(pairs, m, "left").withColumn(f"t_{m}", F.when(F.col("own") > 0, F.coalesce("raw", F.lit(0.0))).otherwise(0.0)).drop("raw", "own")
+            own = own.join(spark.createDataFrame([(k, float(v)) for k, v in targets[m].items()], f"{m} string, raw double"), m, "left").withColumn("t", F.when(F.col("own") > 0, F.coalesce("raw", F.lit(0.0))).otherwise(0.0)).drop("raw")
         else:
-            frame = frame.withColumn(f"t_{m}", F.when(own > 0, F.pow(own / F.lit(float(total)), F.lit(temper))).otherwise(0.0))
-        sums = frame.groupBy(m).agg(F.first(f"t_{m}").alias("t")).agg(F.sum("t")).first()[0] or 1.0
-        frame = frame.withColumn(f"t_{m}", F.col(f"t_{m}") / F.lit(sums) * F.lit(float(total)))
-    held = F.col("weight")
-    if bounded:
-        frame = materialize(frame, "rake")
-        held = F.least(F.lit(1.0), F.col("weight"))
-        reach = [frame.filter(f"t_{m} > 0").agg(F.sum("tokens")).first()[0] or 0 for m in MARGINS]
-        wanted = min(budget * total, *reach)
-        for m in MARGINS:
-            values = materialize(frame.groupBy(m).agg(F.sum("tokens").cast("double").alias("own"), F.first(f"t_{m}").alias("t")), "margin")
-            s = _scale(values, F.col("own"), F.col("t"), wanted)
-            own = F.sum("tokens").over(Window.partitionBy(m)).cast("double")
-            frame = frame.withColumn(f"t_{m}", F.least(own, F.lit(s) * F.col(f"t_{m}")))
-        frame = frame.withColumn("weight", F.lit(float(budget)))
+            own = own.withColumn("t", F.when(F.col("own") > 0, F.pow(F.col("own") / F.lit(total), F.lit(temper))).otherwise(0.0))
+        values[m] = materialize(own, "margin")
+        wanted = min(wanted, values[m].filter("t > 0").agg(F.sum("own")).first()[0] or 0.0)
+    for m in MARGINS:
+        s = _scale(values[m], F.col("own"), F.col("t"), wanted)
+        values[m] = values[m].select(m, "n", F.least(F.col("own"), F.lit(s) * F.col("t")).alias("goal"))
+    frame, held = materialize(cells.withColumn("weight", F.lit(float(budget))), "rake"), F.least(F.lit(1.0), F.col("weight"))
     for _ in range(iterations):
         for m in MARGINS:
-            now = F.sum(F.col("tokens") * held).over(Window.partitionBy(m))
-            frame = frame.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"t_{m}") / now).otherwise(0.0))
+            now = frame.groupBy(m).agg(F.sum(F.col("tokens") * held).alias("now"))
+            factor = now.join(values[m], m).select(m, "n", F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0).alias("factor"))
+            frame = join_facts(frame, factor, m, n).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
         frame = materialize(frame, "rake")
-    if bounded:
-        return frame.select(*MARGINS, held.alias("probability"))
-    high = _scale(frame, F.col("tokens").cast("double"), F.col("tokens") * F.col("weight"), budget * total)
-    return frame.select(*MARGINS, F.least(F.lit(1.0), F.lit(high) * F.col("weight")).alias("probability"))
+    return frame.select(*MARGINS, held.alias("probability"))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, iterations: int | None = None, max_local: int = MAX_LOCAL_CELLS, bounded: bool = False) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, iterations: int = ITERATIONS, max_local: int = MAX_LOCAL_CELLS) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability, kept of every row.
 
     `kept` compares the probability with a number that depends on doc_id alone,
@@ -190,10 +160,18 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, tem
     """
     seen = materialize(features(docs), "mixing")  # some bytes a document
     cells = seen.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
-    fitted = fit_cells(cells, targets, temper, budget, iterations, max_local, bounded)
+    fitted = fit_cells(cells, targets, temper, budget, iterations, max_local)
     return seen.join(fitted, list(MARGINS)).withColumn("kept", unit_hash(F.lit(SEED), F.col("doc_id")) < F.col("probability"))
 
 
+def report(mixed: DataFrame) -> DataFrame:
+    """margin, value, tokens, expected (tokens that are kept on average), share (of all expected) of each value of each margin of what mix returned."""
+    cells = mixed.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("probability")).alias("expected"))
+    total = cells.agg(F.sum("expected")).first()[0] or 0.0
+    each = cells.select(F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(m).alias("value")) for m in MARGINS])).alias("v"), "tokens", "expected")
+    return each.groupBy("v.margin", "v.value").agg(F.sum("tokens").alias("tokens"), F.sum("expected").alias("expected")).withColumn("share", F.col("expected") / F.nullif(F.lit(total), F.lit(0.0)))
+
+
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The kept rows of docs with all their columns."""
     seen = features(docs).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
@@ -206,24 +184,25 @@ def sample(docs: DataFrame, **options) -> DataFrame:
 
 
 def duckdb_sql(temper: float = TEMPER, budget: float = BUDGET, iterations: int = ITERATIONS) -> str:
-    """The same as SQL: the rounds of raking written out one after another."""
+    """The same as SQL: a recursion that scales one margin after another."""
     when = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in TOPICS)
     steps = [
-        f"f AS (SELECT doc_id, source, lang, CASE {when} ELSE '{OTHER_TOPIC}' END AS topic, len(regexp_extract_all(text, '{WORD}'))::BIGINT AS n_tokens FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM documents))",
-        "k AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, 1.0::DOUBLE AS w FROM f GROUP BY ALL)",
+        f"f AS MATERIALIZED (SELECT doc_id, source, lang, CASE {when} ELSE '{OTHER_TOPIC}' END AS topic, len(regexp_extract_all(text, '{WORD}'))::BIGINT AS n_tokens FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM documents))",
+        "k AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM f GROUP BY ALL)",
         "n AS (SELECT sum(tokens) AS total FROM k)",
     ]
     for m in MARGINS:
-        steps.append(f"t_{m} AS MATERIALIZED (SELECT {m}, total * r / sum(r) OVER () AS t FROM (SELECT {m}, total, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens) / total, {temper}::DOUBLE) ELSE 0 END AS r FROM k, n GROUP BY {m}, total))")
-    last = "k"
-    for i in range(iterations):
-        for m in MARGINS:
-            now = f"k{i}_{m}"
-            steps.append(f"{now} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN s > 0 THEN w * (t / s) ELSE 0 END AS w FROM (SELECT *, sum(tokens * w) OVER (PARTITION BY {m}) AS s FROM {last}) JOIN t_{m} USING ({m}))")
-            last = now
+        steps += [
+            f"v_{m} AS MATERIALIZED (SELECT {m}, t, total, CASE WHEN t > 0 THEN total * r / sum(r) OVER () / t ELSE 0 END AS w FROM (SELECT {m}, total, sum(tokens) AS t, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens) / total, {temper}::DOUBLE) ELSE 0 END AS r FROM k, n GROUP BY {m}, total))",
+            f"s_{m} AS (SELECT max(s) FILTER (s * w <= 1) AS s FROM (SELECT w, ({budget}::DOUBLE * total - coalesce(sum(t) OVER (ORDER BY w DESC, {m} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / nullif(sum(t * w) OVER (ORDER BY w DESC, {m} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS s FROM v_{m}))",
+            f"g_{m} AS MATERIALIZED (SELECT {m}, t * CASE WHEN s IS NULL THEN (w > 0)::INT::DOUBLE ELSE least(1.0, s * w) END AS goal_{m} FROM v_{m}, s_{m})",
+        ]
+    goal = "CASE i % 3 " + " ".join(f"WHEN {j} THEN goal_{m}" for j, m in enumerate(MARGINS)) + " END"
+    value = "CASE i % 3 " + " ".join(f"WHEN {j} THEN {m}" for j, m in enumerate(MARGINS)) + " END"
+    joins = " ".join(f"JOIN g_{m} USING ({m})" for m in MARGINS)
     steps += [
-        f"o AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY w DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS whole, sum(tokens * w) OVER (ORDER BY w DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM {last})",
-        f"c AS (SELECT max(s) FILTER (s * w <= 1) AS s FROM (SELECT w, ({budget}::DOUBLE * total - whole) / nullif(rest, 0) AS s, whole FROM o, n) )",
-        "p AS (SELECT source, lang, topic, CASE WHEN c.s IS NULL THEN (w > 0)::INT::DOUBLE ELSE least(1.0, c.s * w) END AS probability FROM o, c)",
+        f"it AS (SELECT 0 AS i, source, lang, topic, tokens, goal_source, goal_lang, goal_topic, {budget}::DOUBLE AS w FROM k {joins} "
+        f"UNION ALL SELECT i + 1, source, lang, topic, tokens, goal_source, goal_lang, goal_topic, CASE WHEN now > 0 THEN w * ({goal} / now) ELSE 0 END FROM (SELECT *, sum(tokens * least(1.0, w)) OVER (PARTITION BY {value}) AS now FROM it WHERE i < {3 * iterations}))",
+        f"p AS (SELECT source, lang, topic, least(1.0, w) AS probability FROM it WHERE i = {3 * iterations})",
     ]
-    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, source, lang, topic, n_tokens, round(probability, 9) AS probability, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < probability AS kept FROM f JOIN p USING (source, lang, topic)"
+    return "WITH RECURSIVE " + ",\n".join(steps) + f"\nSELECT doc_id, source, lang, topic, n_tokens, round(probability, 9) AS probability, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < probability AS kept FROM f JOIN p USING (source, lang, topic)"
