@@ -121,7 +121,7 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents"), license_scan.templates(spark), threshold=0.8)
-    return found.select("doc_id", "license_id", "n_units", F.round("dice", 9).alias("dice"))
+    return found.select("doc_id", "license_id", "n_starts", F.round("dice", 9).alias("dice"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,20 +131,19 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, network).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-_NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.NOTICES)
-_PLAIN = r"trim(regexp_replace(lower({0}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
+_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.TEMPLATES)
+_PLAIN = r"trim(regexp_replace(lower(coalesce({0}, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
 OP8_SQL = f"""
-WITH t AS (SELECT license_id, string_split({_PLAIN.format("text")}, ' ') AS w FROM (VALUES {_NOTICES}) AS v(license_id, text)),
-d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
-u AS (
-  SELECT doc_id, r, 0 AS unit, text AS part FROM d WHERE contains(text, chr(10))
-  UNION ALL SELECT doc_id, r, unnest(range(1, len(l) + 1)) AS unit, unnest(l) AS part FROM (SELECT doc_id, r, string_split(text, chr(10)) AS l FROM d)
-), s AS (SELECT doc_id, r, unit, string_split(p, ' ') AS w FROM (SELECT doc_id, r, unit, {_PLAIN.format("part")} AS p FROM u) WHERE p <> ''),
-k AS (SELECT doc_id, r, unit, w, greatest(len(w) - 1, 1) AS n FROM s WHERE len(w) <= 60),
-sg AS (SELECT doc_id, r, unit, n, g, count(*) AS c FROM (SELECT doc_id, r, unit, n, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM k) GROUP BY ALL),
-tg AS (SELECT license_id, greatest(len(any_value(w)) - 1, 1) AS m, g, count(*) AS c FROM (SELECT license_id, w, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM t) GROUP BY license_id, g, w),
-m AS (SELECT doc_id, r, unit, license_id, 2 * sum(least(sg.c, tg.c)) / (n + m)::DOUBLE AS dice FROM sg JOIN tg USING (g) GROUP BY doc_id, r, unit, license_id, n, m)
-SELECT doc_id, license_id, count(*) AS n_units, round(max(dice), 9) AS dice FROM m WHERE dice >= 0.8 GROUP BY doc_id, license_id
+WITH t AS (SELECT license_id, string_split({_PLAIN.format("text")}, ' ') AS w FROM (VALUES {_TEMPLATES}) AS v(license_id, text)),
+tg AS (SELECT license_id, m, g, count(*) AS wanted FROM (SELECT license_id, len(w) - 1 AS m, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM t) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS r, doc_id, string_split({_PLAIN.format("text")}, ' ') AS w FROM documents),
+b AS (SELECT r, doc_id, unnest(range(1, len(w))) AS p, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM d),
+e AS MATERIALIZED (SELECT r, doc_id, license_id, m, p, g, wanted FROM b JOIN tg USING (g)),
+runs AS (SELECT x.r, x.doc_id, x.license_id, x.m, x.p AS start, y.p, row_number() OVER (PARTITION BY x.r, x.license_id, x.p, y.g ORDER BY y.p) <= y.wanted AS counts
+         FROM e x JOIN e y ON x.r = y.r AND x.license_id = y.license_id AND y.p BETWEEN x.p AND x.p + x.m * 1.5 - 1),
+s AS (SELECT *, 2 * sum(counts::INT) OVER (PARTITION BY r, license_id, start ORDER BY p) / (m + p - start + 1)::DOUBLE AS dice FROM runs),
+best AS (SELECT doc_id, r, license_id, start, max(dice) AS dice FROM s GROUP BY ALL HAVING max(dice) >= 0.8)
+SELECT doc_id, license_id, count(*) AS n_starts, round(max(dice), 9) AS dice FROM best GROUP BY doc_id, license_id
 """
 
 
