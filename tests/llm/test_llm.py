@@ -249,12 +249,12 @@ def test_raking_meets_all_margins():
     rng = np.random.default_rng(1)
     codes = [rng.integers(0, 4, 60), rng.integers(0, 3, 60), rng.integers(0, 2, 60)]
     t = rng.random(60) * 100 + 1
-    targets = [np.array([0.1, 0.2, 0.3, 0.4]) * 1000, np.array([0.5, 0.3, 0.2]) * 1000, np.array([0.6, 0.4]) * 1000]
-    w = mixing.rake(t, codes, targets, 200)
-    for c, want in zip(codes, targets, strict=True):
-        assert np.bincount(c, t * w) == pytest.approx(want, rel=1e-6)
-    p = mixing.probabilities(t, w, 0.5)
-    assert p.max() <= 1 and (t * p).sum() == pytest.approx(0.5 * t.sum())
+    totals = [np.bincount(c, t) for c in codes]
+    goals = mixing.attainable(totals, [t.sum() * x / x.sum() for x in (totals[0] ** 0.5, totals[1] ** 0.5, totals[2] ** 0.5)], 0.3)
+    p = mixing.rake(t, codes, goals, 0.3)
+    for c, want in zip(codes, goals, strict=True):
+        assert np.bincount(c, t * p) == pytest.approx(want, rel=1e-6)
+    assert p.max() <= 1 and (t * p).sum() == pytest.approx(0.3 * t.sum())
 
 
 def test_mixing_local_equals_distributed(spark):
@@ -281,7 +281,7 @@ def margins(rows, m):
 
 def test_bounded_mixing_meets_the_targets_that_tokens_allow(spark):
     docs = common.table(spark, SF, "documents")
-    rows = mixing.mix(docs, bounded=True).collect()
+    rows = mixing.mix(docs).collect()
     have = {m: Counter() for m in mixing.MARGINS}
     for r in rows:
         for m in mixing.MARGINS:
@@ -296,7 +296,7 @@ def test_bounded_mixing_meets_the_targets_that_tokens_allow(spark):
             low, high = (s, high) if np.minimum(own, s * np.sqrt(own)).sum() < mixing.BUDGET else (low, s)
         got = margins(rows, m)
         assert [got[n] * mixing.BUDGET for n in names] == pytest.approx(np.minimum(own, high * np.sqrt(own)), abs=6e-3)  # cells allow a little less than each margin by itself
-    local, far = ({r["doc_id"]: r["probability"] for r in mixing.mix(docs, bounded=True, max_local=m, iterations=3).collect()} for m in (10**6, 0))
+    local, far = ({r["doc_id"]: r["probability"] for r in mixing.mix(docs, max_local=m, iterations=3).collect()} for m in (10**6, 0))
     assert far == pytest.approx(local, abs=1e-9)
 
 
@@ -305,18 +305,24 @@ def test_bounded_mixing_has_exact_shares_where_all_are_attainable():
     codes = [np.arange(8) % 2, np.arange(8) // 4]
     wanted = [np.array([0.65, 0.35]) * t.sum(), np.array([0.2, 0.8]) * t.sum()]
     totals = [np.bincount(c, t) for c in codes]
-    p = mixing.rake_bounded(t, codes, mixing.attainable(totals, wanted, 0.6), 0.6)
-    plain = mixing.probabilities(t, mixing.rake(t, codes, wanted), 0.6)
+    p = mixing.rake(t, codes, mixing.attainable(totals, wanted, 0.6), 0.6)
     for c, want in zip(codes, wanted, strict=True):
         assert np.bincount(c, t * p) == pytest.approx(0.6 * want, rel=1e-3)
-    assert max(abs(np.bincount(c, t * plain) / (0.6 * want) - 1).max() for c, want in zip(codes, wanted, strict=True)) > 0.02
+
+
+def test_mixing_reports_its_margins(spark):
+    mixed = mixing.mix(common.table(spark, SF, "documents"))
+    rows = mixed.collect()
+    for r in mixing.report(mixed).collect():
+        own = [x for x in rows if x[r["margin"]] == r["value"]]
+        assert r["tokens"] == sum(x["n_tokens"] for x in own) and r["share"] == pytest.approx(sum(x["n_tokens"] * x["probability"] for x in own) / sum(x["n_tokens"] * x["probability"] for x in rows))
 
 
 def test_pipeline_mixes_with_bounds(spark):
     import corpus_pipeline
 
     docs = common.table(spark, SF, "documents")
-    kept = {r["doc_id"] for r in mixing.mix(docs, bounded=True).filter("kept").collect()}
+    kept = {r["doc_id"] for r in mixing.mix(docs).filter("kept").collect()}
     assert {r["doc_id"] for r in corpus_pipeline.source_mixing(spark, docs, SF).collect()} == kept
 
 
@@ -555,29 +561,49 @@ def test_quality_gradient_and_absent_labels(spark):
 
 
 def brute_dice(texts, notices, threshold=0.8):
-    grams = lambda w: Counter(zip(w[:-1], w[1:], strict=True)) if len(w) > 1 else Counter({(w[0],): 1})
-    split = lambda t: [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) if x]
-    known = {k: grams(split(v)) for k, v in notices if split(v)}
+    """All runs of all lengths; those that begin with a bigram of the template are counted."""
+    grams = lambda w: list(zip(w[:-1], w[1:], strict=True))
+    split = lambda t: [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if x]
     out = {}
     for d, t in enumerate(texts):
-        lines = (t or "").split("\n")
-        for unit in [*lines, *([t] if len(lines) > 1 else [])]:
-            if w := split(unit):
-                for k, g in known.items():
-                    own = grams(w)
-                    s = 2 * sum((own & g).values()) / (sum(own.values()) + sum(g.values()))
-                    if s >= threshold:
-                        n, best = out.get((d, k), (0, 0))
-                        out[d, k] = (n + 1, max(best, s))
+        own = grams(split(t))
+        for k, v in notices:
+            template = Counter(grams(split(v)))
+            m = sum(template.values())
+            if not m or not set(own) & set(template):
+                continue
+            best = {}
+            for a in range(len(own)):
+                here, shared = Counter(), 0
+                for b in range(a, min(len(own), a + 2 * m)):
+                    here[own[b]] += 1
+                    shared += here[own[b]] <= template[own[b]]
+                    best[a] = max(best.get(a, 0), 2 * shared / (b + 1 - a + m))
+            if best and max(best.values()) >= threshold:
+                out[d, k] = (sum(x >= threshold and own[a] in template for a, x in best.items()), max(best.values()))
     return out
 
 
 def test_license_scan_equals_brute_force(spark):
-    notices = [*license_scan.NOTICES, ("word", "Copyleft"), ("none", "!!"), ("twice", "a b a b a b")]
-    texts = [*ODD, "Licensed under the Apache License, Version 2.0.", "x\nReleased under  the MIT License!\n\nRELEASED UNDER THE MIT LICENSE", "copyleft\na b a b a b", "Licensed under\nCC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 9. or"]
+    notices = [*license_scan.TEMPLATES, ("word", "Copyleft"), ("none", "!!"), ("twice", "a b a b a b"), (None, "null id notice"), ("null", None)]
+    mit, apache = dict(license_scan.TEXTS)["mit-text"], dict(license_scan.TEXTS)["apache-2.0-header"]
+    odd = [t if t is None or len(t) < 1000 else t[:900] for t in ODD]
+    texts = [
+        *odd,
+        "Licensed under the Apache License, Version 2.0.",
+        "x\nReleased under  the MIT License!\n\nRELEASED UNDER THE MIT LICENSE",
+        "copyleft\na b a b a b a b c",
+        "Licensed under\nCC BY-NC 4.0.",
+        "This work is licensed under the GNU General Public License, version 9. or",
+        "This module was written by the team. Released under the MIT License. And more words follow it here.",
+        "Some code\n" + "\n# ".join(mit[i : i + 60] for i in range(0, len(mit), 60)) + "\nend of it",
+        "# " + apache.replace(" ", "\n# ", 40) + " more",
+        "null id\nnotice " + mit[:200],
+    ]
     frame = spark.createDataFrame(notices, "license_id string, text string")
-    got = {(r["doc_id"], r["license_id"]): (r["n_units"], pytest.approx(r["dice"])) for r in license_scan.scan(docs_of(spark, texts, extra=True), frame).collect()}
-    assert got == brute_dice(texts, notices)
+    got = {(r["doc_id"], r["license_id"]): (r["n_starts"], pytest.approx(r["dice"])) for r in license_scan.scan(docs_of(spark, texts, extra=True), frame).collect()}
+    want = brute_dice(texts, notices)
+    assert got == want and {(len(odd) + 5, "mit"), (len(odd) + 6, "mit-text"), (len(odd) + 6, "mit-grant"), (len(odd) + 3, "cc-by-nc-4.0"), (len(odd) + 7, "apache-2.0-header")} <= set(want)
     assert license_scan.scan(docs_of(spark, []), frame).count() == 0
     assert license_scan.scan(docs_of(spark, texts), frame.filter("license_id = 'none'")).count() == 0
 
@@ -603,19 +629,66 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(docs_of(spark, []), model).count() == 0
 
 
-def test_toxicity_compact_triples_give_the_same_model():
+def test_toxicity_likelihood_and_gradient():
     rng = np.random.default_rng(4)
-    label = rng.integers(0, 2, 600)
-    lists = [np.unique(np.concatenate([rng.integers(100, 9000, 40), rng.integers(0, 9, 5) + 10 * y])) for y in label]
-    counts = [rng.integers(1, 4, len(x)) for x in lists]
-    make = lambda a, b: pa.table({"label": pa.array(label[a:b], pa.int32()), "words": pa.array(lists[a:b], pa.list_(pa.int64())), "counts": pa.array(counts[a:b], pa.list_(pa.int32()))})
-    own = toxicity.compact(pa.concat_tables([make(0, 250), make(250, 600)]))
-    row, word = np.repeat(np.arange(600), [len(x) for x in lists]), np.concatenate(lists).astype(np.uint64)
-    assert len(own[1]) < len(row) and toxicity.MAX_LABELLED == 8_000
-    model, full = toxicity.fit_arrays(*own), toxicity.fit_arrays(label, row, word, np.concatenate(counts).astype(float))
-    assert len(full.features) and (model.features == full.features).all()
-    assert model.weights == pytest.approx(full.weights) and model.thresholds == pytest.approx(full.thresholds)
-    assert len(toxicity.fit_arrays(*toxicity.compact(make(0, 0))).features) == 0
+    n, f, k = 40, 6, toxicity.GRADES
+    grade, scale = rng.integers(0, k + 1, n), rng.random(n)
+    row, feature = np.repeat(np.arange(n), 3), rng.integers(0, f, 3 * n)
+    x, w, theta = rng.random(3 * n), rng.normal(0, 1, f), rng.normal(0, 0.5, k)
+    loss, by_w, by_theta = toxicity.loss_and_gradient(w, theta, grade, scale, row, feature, x)
+    cuts, brute = [-np.inf, theta[0], *(theta[0] + np.cumsum(np.exp(theta[1:]))), np.inf], 0.0
+    for i in range(n):
+        z = sum(w[g] * v for r, g, v in zip(row, feature, x, strict=True) if r == i)
+        at_most = lambda c, z=z: 1 / (1 + np.exp(z - c))
+        brute -= scale[i] * np.log(at_most(cuts[grade[i] + 1]) - at_most(cuts[grade[i]]))
+    assert loss == pytest.approx(brute + toxicity.RIDGE / 2 * (w**2).sum())
+    call = lambda w, t: toxicity.loss_and_gradient(w, t, grade, scale, row, feature, x)[0]
+    for i in range(f):
+        d = np.eye(f)[i] * 1e-5
+        assert by_w[i] == pytest.approx((call(w + d, theta) - call(w - d, theta)) / 2e-5, abs=1e-5)
+    for i in range(k):
+        d = np.eye(k)[i] * 1e-5
+        assert by_theta[i] == pytest.approx((call(w, theta + d) - call(w, theta - d)) / 2e-5, abs=1e-5)
+
+
+def test_toxicity_words_doses_and_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(1)
+    texts = [" ".join([f"w{x}" for x in rng.integers(0, 60, 25)] + (["venom"] * int(rng.integers(1, 4)) if i % 3 == 0 and rng.random() < 0.9 else [])) for i in range(90)]
+    docs = docs_of(spark, texts, extra=True)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(95, None)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+
+    def keys(text):  # words, and the first 4, 5, 6 letters of longer ones
+        return Counter(k for w in tokens(text) for k in [w, *((w[:n], n) for n in (4, 5, 6) if len(w) > n)])
+
+    def code(k):
+        w, n = (k, 0) if isinstance(k, str) else k
+        raw = np.frombuffer(w.encode(), np.uint8)
+        return int(words.hashes(raw, np.array([0]), np.array([len(raw)]))[0]) ^ n
+
+    every = Counter(k for t in texts for k in keys(t))
+    a = {k: sum(k in keys(texts[i]) for i in range(0, 90, 3)) for k in every}
+    m = {k: sum(k in keys(t) for t in texts) for k in every}
+    gain = {}
+    for k in every:
+        p, q, both, b = (a[k] + 0.5) / 31, (m[k] - a[k] + 0.5) / 61, (m[k] + 1) / 92, m[k] - a[k]
+        gain[k] = a[k] * np.log(p / both) + (30 - a[k]) * np.log((1 - p) / (1 - both)) + b * np.log(q / both) + (60 - b) * np.log((1 - q) / (1 - both))
+    assert sorted(model.features.tolist()) == sorted(code(k) for k in every if m[k] >= toxicity.MIN_DOCUMENTS and gain[k] > 6)
+    weight = dict(zip(model.features.tolist(), model.weights, strict=True))
+    for r in toxicity.score(docs, model).collect():
+        z = sum(weight.get(code(k), 0) * np.log1p(c) for k, c in keys(texts[r["doc_id"]]).items())
+        above = [1 / (1 + np.exp(t - z)) for t in model.thresholds]
+        assert r["severity"] == pytest.approx(sum(above)) and r["p_toxic"] == pytest.approx(above[0])
+
+
+def test_toxicity_doses_come_from_the_other_half(spark):
+    """Words that mark toxic rows only in one half count in the other half alone."""
+    rows = [(i, int(i % 2), [1000 + i, *([7] if i % 2 else [])], [1, *([1 + i % 3] if i % 2 else [])]) for i in range(80)]
+    frame = spark.createDataFrame(rows, "row bigint, label int, words array<bigint>, counts array<int>")
+    half = {r["row"]: r["h"] for r in frame.select("row", F.pmod(F.xxhash64("words"), F.lit(2)).alias("h")).collect()}
+    assert set(half.values()) == {0, 1}
+    assert {r["row"]: r["dose"] for r in toxicity.doses(frame).collect()} == {i: 1 + i % 3 for i in range(1, 80, 2)}
+    assert toxicity.grades_of(np.array([0, 1, 1, 1]), np.array([9, 1, 2, 3])).tolist() == [0, 1, 2, 3]
 
 
 def test_toxicity_without_labels_calls_all_clean(spark):
