@@ -50,8 +50,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "calc-covariance":
         chosen = [r["sample"] for r in text.read_individuals(spark, a.individuals).orderBy("ord").collect()] if a.individuals else text.vcf_samples(spark, a.reference_panel)
         found = text.read_vcf(spark, a.reference_panel, chosen, a.region)
-        gmap = text.read_genetic_map(spark, a.genetic_map)
-        known = text.usable(found.join(gmap.select("pos", F.col("cm").alias("g")), "pos"))
+        gmap = text.map_of(found, text.read_genetic_map(spark, a.genetic_map))
+        known = text.usable(found.join(gmap.select("chrom", "pos", F.col("cm").alias("g")), ["chrom", "pos"]))
         cov = covariance.covariance(covariance.prepare_panel(known), 2 * len(chosen), len(chosen), a.ne, a.cutoff, a.full)
         CovarianceStore(spark, a.output).write(cov.withColumn("p_index", F.lit(0)), a.compression)
     elif a.command == "matrix-to-vector":

@@ -155,10 +155,18 @@ def compare_blocks(ours: DataFrame, reference: DataFrame, tolerance: int = 10_00
     return out
 
 
-def digest(rows: DataFrame, *order: str) -> DataFrame:
-    """chrom, digest: SHA-256 of each row's values joined in order; equal digests mean equal contents."""
+def digest(rows: DataFrame, *order: str, run: int = 10_000) -> DataFrame:
+    """chrom, digest: equal digests mean equal contents.
+
+    Rows are numbered in order; the SHA-256 of each run of `run` rows, and then
+    the SHA-256 of a chromosome's run digests, one a line. So no more than a
+    run, or a chromosome's run digests, is put together.
+    """
     text = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns if c != "chrom"])
-    return rows.select("chrom", F.struct(*order, text.alias("_t")).alias("s")).groupBy("chrom").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["_t"]), "\n"), 256).alias("digest"))
+    numbered = rows.select("chrom", text.alias("_t"), F.row_number().over(Window.partitionBy("chrom").orderBy(*order, text)).alias("_n"))
+    joined = lambda at, value: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at, value))), lambda s: s[value]), "\n"), 256)
+    runs = numbered.groupBy("chrom", F.floor((F.col("_n") - 1) / run).alias("_r")).agg(joined("_n", "_t").alias("_d"))
+    return runs.groupBy("chrom").agg(joined("_r", "_d").alias("digest"))
 
 
 def compare_beds(each: DataFrame, whole: DataFrame) -> DataFrame:

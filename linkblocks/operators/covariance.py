@@ -119,10 +119,9 @@ def closed_form_diagonal(panel: DataFrame, n_haplotypes: int, cutoff: float = 1e
 
 def by_partition(cov: DataFrame, partitions: DataFrame) -> DataFrame:
     """cov with p_index: a copy in every (overlapping) partition that holds both ends. Partitions are few per chromosome."""
-    inside = (F.col("lo") >= F.col("start")) & (F.col("hi") <= F.col("end"))
     ranges = partitions.groupBy("chrom").agg(F.sort_array(F.collect_list(F.struct("p_index", "start", "end"))).alias("parts"))
-    dealt = cov.join(ranges, "chrom").withColumn("p", F.explode("parts")).select("*", "p.*")
-    return dealt.filter(inside).drop("parts", "p", "start", "end")
+    holding = F.filter("parts", lambda p: (F.col("lo") >= p["start"]) & (F.col("hi") <= p["end"]))
+    return cov.join(F.broadcast(ranges), "chrom").withColumn("p_index", F.explode(F.transform(holding, lambda p: p["p_index"]))).drop("parts")  # one row a chromosome
 
 
 def canonical(rows: DataFrame, order: list[str]) -> DataFrame:

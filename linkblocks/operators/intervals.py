@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -111,49 +111,44 @@ def offset_stats(query: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def boundary_jaccard(a: DataFrame, b: DataFrame, tolerance: int) -> DataFrame:
-    """chrom, jaccard of two boundary sets under a tolerance: one greedy sweep over both, each boundary matched once."""
+    """chrom, jaccard of two boundary sets under a tolerance; null where one set is empty.
 
-    def sweep(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        x, y = sorted(set(left["pos"])), sorted(set(right["pos"]))
-        chrom = (left if len(left) else right)["chrom"].iloc[0]
-        if not x or not y:
-            return pd.DataFrame({"chrom": [chrom], "jaccard": [math.nan]})
-        i = j = hits = 0
-        while i < len(x) and j < len(y):
-            gap = x[i] - y[j]
-            hits += abs(gap) <= tolerance
-            i, j = (i + 1, j + 1) if abs(gap) <= tolerance else (i + 1, j) if gap < 0 else (i, j + 1)
-        return pd.DataFrame({"chrom": [chrom], "jaccard": [hits / (len(x) + len(y) - hits)]})
+    One ordered pass over the union of both sets. Boundaries of one set wait, in
+    order, for one of the other set; a boundary takes the first that waits
+    within the tolerance, so each is matched once.
+    """
 
-    keyed = lambda d: d.select("chrom", "pos").groupBy("chrom")
-    return keyed(a).cogroup(keyed(b)).applyInPandas(sweep, "chrom string, jaccard double")
+    def scan(group: pd.DataFrame) -> pd.DataFrame:
+        waiting, side, hits, seen = deque(), None, 0, [0, 0]
+        for pos, own in zip(group["pos"].tolist(), group["side"].tolist(), strict=True):
+            seen[own] += 1
+            if own != side:
+                while waiting and waiting[0] < pos - tolerance:
+                    waiting.popleft()
+                if waiting:
+                    waiting.popleft()
+                    hits += 1
+                    continue
+                side = own
+            waiting.append(pos)
+        return pd.DataFrame({"chrom": group["chrom"].iloc[:1], "jaccard": [hits / (sum(seen) - hits) if all(seen) else None]})
+
+    both = a.select("chrom", "pos", F.lit(0).alias("side")).unionByName(b.select("chrom", "pos", F.lit(1).alias("side"))).distinct()
+    return both.groupBy("chrom").applyInPandas(lambda group: scan(group.sort_values(["pos", "side"])), "chrom string, jaccard double")
 
 
 def merge_small(blocks: DataFrame, min_count: int) -> DataFrame:
-    """Blocks (with n) of fewer than min_count positions join the block to their left, a leading one that to its right, until none can."""
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [list(r) for r in group.sort_values("start")[["start", "stop", "n"]].itertuples(index=False)]
-        again = True
-        while again:
-            again, out, skip = False, [], False
-            for k, row in enumerate(rows):
-                if skip:
-                    skip = False
-                elif row[2] >= min_count:
-                    out.append(row)
-                elif k > 0:
-                    out[-1] = [out[-1][0], row[1], out[-1][2] + row[2]]
-                    again = True
-                elif k + 1 < len(rows):
-                    out.append([row[0], rows[k + 1][1], row[2] + rows[k + 1][2]])
-                    again = skip = True
-                else:
-                    out.append(row)
-            rows = out
-        return pd.DataFrame([(group["chrom"].iloc[0], *r) for r in rows], columns=["chrom", "start", "stop", "n"])
-
-    return blocks.groupBy("chrom").applyInPandas(one, "chrom string, start bigint, stop bigint, n bigint")
+    """Blocks (with n) of fewer than min_count positions join the block to their left, leading ones that to their right.
+
+    A carried count of the blocks that are large enough numbers the merged
+    blocks. What comes before the first of them is a block of its own if it has
+    min_count positions together, and joins the first one if not.
+    """
+    along = Window.partitionBy("chrom").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)
+    counted = blocks.withColumn("_k", F.count_if(F.col("n") >= min_count).over(along))
+    leading = F.sum(F.when(F.col("_k") == 0, F.col("n"))).over(Window.partitionBy("chrom"))
+    numbered = counted.withColumn("_k", F.when((F.col("_k") == 0) & (leading < min_count), 1).otherwise(F.col("_k")))
+    return numbered.groupBy("chrom", "_k").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").cast("bigint").alias("n")).drop("_k")
 
 
 def count_positions(blocks: DataFrame, positions: DataFrame, bin_size: int = 1_000_000) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import bisect
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,16 +22,18 @@ def reflect_index(i: np.ndarray, n: int) -> np.ndarray:
     return np.where(m < n, m, 2 * n - 1 - m)
 
 
-def convolve(values: np.ndarray, width: int, begin: int, end: int, periodic: bool = False) -> np.ndarray:
+def convolve(values: np.ndarray, width: int, begin: int, end: int, periodic: bool = False, at: int = 0, n: int | None = None) -> np.ndarray:
     """Outputs [begin, end) of the direct convolution with mirrored ends.
 
-    Taps are added one after another, so equal neighbourhoods give equal
-    results to the last bit and a plateau has no minima.
+    `values` may be a part of the signal that begins at `at` and holds all
+    inputs of the outputs; n is the length of the whole. Taps are added one
+    after another, so equal neighbourhoods give equal results to the last bit
+    and a plateau has no minima.
     """
-    weights = hann(width, periodic)
-    if not len(values) or begin >= end:
+    weights, n = hann(width, periodic), len(values) if n is None else n
+    if not n or begin >= end:
         return np.empty(0)
-    padded = values[reflect_index(np.arange(begin - width, end + width), len(values))]
+    padded = values[reflect_index(np.arange(begin - width, end + width), n) - at]
     out = np.zeros(end - begin)
     for t, w in enumerate(weights):
         out += w * padded[t : t + end - begin]
@@ -44,45 +46,49 @@ def arrays(vector: DataFrame) -> DataFrame:
     return vector.groupBy("chrom").agg(rows.alias("v")).select("chrom", F.col("v.pos").alias("positions"), F.col("v.value").alias("values"))
 
 
-def _chunks(signals: DataFrame, widths: list[int], chunk: int) -> DataFrame:
-    tasks = signals.withColumn("width", F.explode(F.array(*[F.lit(int(w)) for w in widths])))
-    tasks = tasks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.size("values"), F.lit(1)) - 1) / chunk).cast("int"))))
-    return tasks.repartition(F.col("chrom"), F.col("width"), F.col("chunk"))
+def _chunks(signals: DataFrame, widths: list[int] | dict[str, list[int]], chunk: int) -> DataFrame:
+    """chrom, width, begin, end, n, at, values, positions: outputs [begin, end) with the part of the signal, from `at`, that they need."""
+    if isinstance(widths, dict):
+        of = F.create_map(*[x for c, w in widths.items() for x in (F.lit(c), F.array(*[F.lit(int(v)) for v in w]))])
+        wanted = F.explode(F.try_element_at(of, F.col("chrom"))) if widths else F.explode(F.array().cast("array<int>"))
+    else:
+        wanted = F.explode(F.array(*[F.lit(int(w)) for w in widths]))
+    tasks = signals.withColumn("width", wanted).withColumn("n", F.size("values"))
+    tasks = tasks.withColumn("begin", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(chunk)))).withColumn("end", F.least("n", F.col("begin") + chunk))
+    tasks = tasks.withColumn("at", F.greatest(F.lit(0), F.col("begin") - F.col("width") - 1))
+    part = F.slice("values", F.col("at") + 1, F.least("n", F.col("end") + F.col("width") + 1) - F.col("at"))
+    tasks = tasks.select("chrom", "width", "begin", "end", "n", "at", part.alias("values"), F.slice("positions", F.col("begin") + 1, F.col("end") - F.col("begin")).alias("positions"))
+    return tasks.repartition(F.col("chrom"), F.col("width"), F.col("begin"))
 
 
-def _minima(values: np.ndarray, width: int, begin: int, end: int, periodic: bool) -> tuple[np.ndarray, np.ndarray]:
+def _minima(values: np.ndarray, width: int, begin: int, end: int, periodic: bool, at: int = 0, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Smoothed outputs [begin, end), and which are strict minima (never the first or last of all)."""
-    a, b = max(0, begin - 1), min(len(values), end + 1)
-    s = convolve(values, width, a, b, periodic)
+    n = len(values) if n is None else n
+    a, b = max(0, begin - 1), min(n, end + 1)
+    s = convolve(values, width, a, b, periodic, at, n)
     low = np.zeros(len(s), bool)
     low[1:-1] = (s[1:-1] < s[:-2]) & (s[1:-1] < s[2:])
     return s[begin - a : end - a], low[begin - a : end - a]
 
 
-def smooth(vector: DataFrame, widths: list[int], periodic: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """chrom, width, idx, pos, smoothed, is_minimum for each width (a filter bank)."""
+def smooth(vector: DataFrame, widths: list[int] | dict[str, list[int]], periodic: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """chrom, width, idx, pos, smoothed, is_minimum for each width (a filter bank; or widths for each chromosome)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                values = np.asarray(row.values, float)
-                begin, end = row.chunk * chunk, min(len(values), (row.chunk + 1) * chunk)
-                s, low = _minima(values, row.width, begin, end, periodic)
-                yield pd.DataFrame({"chrom": row.chrom, "width": row.width, "idx": np.arange(begin, end), "pos": np.asarray(row.positions)[begin:end], "smoothed": s, "is_minimum": low})
+                s, low = _minima(np.asarray(row.values, float), row.width, row.begin, row.end, periodic, row.at, row.n)
+                yield pd.DataFrame({"chrom": row.chrom, "width": row.width, "idx": np.arange(row.begin, row.end), "pos": np.asarray(row.positions), "smoothed": s, "is_minimum": low})
 
     return _chunks(arrays(vector), widths, chunk).mapInPandas(run, "chrom string, width int, idx bigint, pos bigint, smoothed double, is_minimum boolean")
 
 
-def minima_counts(vector: DataFrame, widths: list[int], periodic: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """chrom, width, minima."""
+def minima_counts(vector: DataFrame, widths: list[int] | dict[str, list[int]], periodic: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """chrom, width, minima; widths for all chromosomes, or for each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                values = np.asarray(row.values, float)
-                _, low = _minima(values, row.width, row.chunk * chunk, min(len(values), (row.chunk + 1) * chunk), periodic)
-                out.append((row.chrom, row.width, int(low.sum())))
+            out = [(r.chrom, r.width, int(_minima(np.asarray(r.values, float), r.width, r.begin, r.end, periodic, r.at, r.n)[1].sum())) for r in batch.itertuples(index=False)]
             yield pd.DataFrame(out, columns=["chrom", "width", "n"])
 
     return _chunks(arrays(vector), widths, chunk).mapInPandas(run, "chrom string, width int, n bigint").groupBy("chrom", "width").agg(F.sum("n").alias("minima"))
@@ -100,56 +106,39 @@ def target_minima(n_positions: int, between: int) -> int:
     return target
 
 
-def search_width(counts: Callable[[list[int]], dict[int, int]], target: int, start: int = 1000, delta: int = 200, step: int = 20, limit: float = math.inf) -> int:
-    """The width whose number of minima is the target, or the nearest that the search rule finds.
+def width_search(target: int, start: int = 1000, delta: int = 200, step: int = 20, limit: float = math.inf) -> Generator[list[int], dict[int, int], int]:
+    """Yields the widths whose minima it wants to know, gets their counts, and returns the width whose number of minima is the target, or the nearest that the search rule finds.
 
     Doubles the width until the count is below the target, bisects for the
     smallest width at or under it on the falling side, then walks to smaller
     widths while they still give exactly the target: in steps, then one by one.
-    `counts` gets widths in batches, so each round is one job.
+    The bisection asks ahead for what its next two rounds may need.
     """
     if start <= 0 or target <= 0:
         raise ValueError("start and target must be positive")
     if step > delta:
         raise ValueError("step must not exceed delta")
-    memo: dict[int, int] = {}
+    known: dict[int, int] = {}
 
-    def fetch(widths: list[int]) -> None:
-        new = sorted({w for w in widths if w not in memo})
+    def ask(widths: list[int]) -> Generator[list[int], dict[int, int], None]:
+        new = sorted({w for w in widths if w not in known})
         if new:
-            memo.update(counts(new))
+            known.update((yield new))
 
     end = start
     while True:
         if end >= limit:
             raise ValueError(f"no width below {limit} has fewer than {target} minima")
-        fetch([end])
-        if memo[end] < target:
+        yield from ask([end])
+        if known[end] < target:
             break
         end *= 2
-
-    class Falling:
-        """Index i stands for width end - i."""
-
-        def __len__(self) -> int:
-            return end + 1
-
-        def __getitem__(self, i: int) -> int:
-            if end - i not in memo:
-                # what the next two rounds of the bisection may ask for
-                low, high = self.low, self.high
-                ahead = [i, (low + i) // 2, (i + 1 + high) // 2]
-                fetch([end - j for j in ahead if 0 <= j <= end])
-            return memo[end - i]
-
-        low, high = 0, end + 1
-
-    falling = Falling()
-    low, high = 0, len(falling)
+    low, high = 0, end + 1  # index i stands for width end - i
     while low < high:
-        falling.low, falling.high = low, high
         middle = (low + high) // 2
-        if target < falling[middle]:
+        if end - middle not in known:
+            yield from ask([end - j for j in (middle, (low + middle) // 2, (middle + 1 + high) // 2) if 0 <= j <= end])
+        if target < known[end - middle]:
             high = middle
         else:
             low = middle + 1
@@ -159,23 +148,42 @@ def search_width(counts: Callable[[list[int]], dict[int, int]], target: int, sta
     for reach, by in ((delta, step), (step, 1)):
         while True:
             ahead = [i for i in range(at + by, at + reach, by) if i <= end]
-            fetch([end - i for i in ahead])
-            found = next((i for i in ahead if memo[end - i] == target), None)
+            yield from ask([end - i for i in ahead])
+            found = next((i for i in ahead if known[end - i] == target), None)
             if found is None:
                 break
             at = found
     return end - at
 
 
+def search_width(counts: Callable[[list[int]], dict[int, int]], target: int, **options) -> int:
+    """width_search of one signal; `counts` gets widths in batches."""
+    steps = width_search(target, **options)
+    try:
+        wanted = next(steps)
+        while True:
+            wanted = steps.send(counts(wanted))
+    except StopIteration as done:
+        return done.value
+
+
 def search_widths(vector: DataFrame, targets: dict[str, int], **options) -> dict[str, int]:
-    """A width for every chromosome, with its target number of minima."""
+    """A width for every chromosome, with its target number of minima. Each round is one job over all chromosomes that still search."""
     kept = vector.persist()
     try:
-        out = {}
-        for chrom, target in targets.items():
-            own = kept.filter(F.col("chrom") == chrom)
-            out[chrom] = search_width(lambda widths, own=own: {r["width"]: r["minima"] for r in minima_counts(own, widths).collect()}, target, **options)
-        return out
+        steps, wanted, out = {c: width_search(t, **options) for c, t in targets.items()}, {}, {}
+        answers = dict.fromkeys(steps)
+        while answers:
+            wanted = {}
+            for c, answer in answers.items():
+                try:
+                    wanted[c] = steps[c].send(answer)
+                except StopIteration as done:
+                    out[c] = done.value
+            answers = {c: {} for c in wanted}
+            for r in minima_counts(kept, wanted).collect() if wanted else []:
+                answers[r["chrom"]][r["width"]] = r["minima"]
+        return {c: out[c] for c in targets}
     finally:
         kept.unpersist()
 

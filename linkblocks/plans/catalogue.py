@@ -552,7 +552,14 @@ def agg_14(s, d):
     return intervals.match_rate(intervals.boundaries(fx.blocks_a(s, d)), intervals.boundaries(fx.blocks_b(s, d)), 4000).select("chrom", _r("rate", 6))
 
 
-@query("agg_15_boundary_jaccard")
+_GREEDY = """SELECT chrom, CASE WHEN x IS NULL OR y IS NULL THEN NULL ELSE hits / (len(x) + len(y) - hits)::DOUBLE END AS jaccard FROM (
+  WITH RECURSIVE l AS (SELECT chrom, x, y FROM (SELECT chrom, list_sort(list(pos)) AS x FROM xa GROUP BY chrom) FULL JOIN (SELECT chrom, list_sort(list(pos)) AS y FROM xb GROUP BY chrom) USING (chrom)),
+  w AS (SELECT chrom, x, y, 1 AS i, 1 AS j, 0 AS hits FROM l UNION ALL
+    SELECT chrom, x, y, i + (x[i] <= y[j] + 4000)::INT, j + (y[j] <= x[i] + 4000)::INT, hits + (abs(x[i] - y[j]) <= 4000)::INT FROM w WHERE i <= len(x) AND j <= len(y))
+  SELECT * FROM w WHERE x IS NULL OR y IS NULL OR i > len(x) OR j > len(y))"""
+
+
+@query("agg_15_boundary_jaccard", _GREEDY)
 def agg_15(s, d):
     return intervals.boundary_jaccard(intervals.boundaries(fx.blocks_a(s, d)), intervals.boundaries(fx.blocks_b(s, d)), 4000)
 
@@ -573,7 +580,10 @@ def agg_28(s, d):
     return intervals.count_positions(fx.blocks_b(s, d), intervals.boundaries(fx.blocks_a(s, d)), 50_000)
 
 
-@query("win_11_merge_small")
+@query("win_11_merge_small", """SELECT chrom, min("start") AS "start", max(stop) AS stop, sum(n)::BIGINT AS n FROM (
+  SELECT *, CASE WHEN k = 0 AND sum(n) FILTER (k = 0) OVER (PARTITION BY chrom) < 2 THEN 1 ELSE k END AS g FROM (
+    SELECT *, count(*) FILTER (n >= 2) OVER (PARTITION BY chrom ORDER BY "start" ROWS UNBOUNDED PRECEDING) AS k FROM (
+      SELECT b.chrom, b."start", b.stop, count(p.pos) AS n FROM ba b LEFT JOIN xb p ON p.chrom = b.chrom AND p.pos > b."start" AND p.pos <= b.stop GROUP BY ALL))) GROUP BY chrom, g""")
 def win_11(s, d):
     return intervals.merge_small(intervals.count_positions(fx.blocks_a(s, d), intervals.boundaries(fx.blocks_b(s, d))), 2)
 
@@ -637,9 +647,9 @@ def agg_31(s, d):
     return compare.compare_vectors(v, w).select("chrom", "shared", "only_left", "only_right", _r("max_diff", 6), _r("mean_diff", 6), "exact")
 
 
-@query("agg_31_digest", "SELECT chrom, sha256(string_agg(\"start\"::VARCHAR || chr(9) || stop::VARCHAR, chr(10) ORDER BY \"start\")) AS digest FROM ba GROUP BY chrom")
+@query("agg_31_digest", "SELECT chrom, sha256(string_agg(d, chr(10) ORDER BY k)) AS digest FROM (SELECT chrom, (n - 1) // 7 AS k, sha256(string_agg(t, chr(10) ORDER BY n)) AS d FROM (SELECT chrom, \"start\"::VARCHAR || chr(9) || stop::VARCHAR AS t, row_number() OVER (PARTITION BY chrom ORDER BY \"start\") AS n FROM ba) GROUP BY ALL) GROUP BY chrom")
 def agg_31_digest(s, d):
-    return compare.digest(fx.blocks_a(s, d).select("chrom", "start", "stop"), "start")
+    return compare.digest(fx.blocks_a(s, d).select("chrom", "start", "stop"), "start", run=7)
 
 
 @query("agg_25_position_sets", """SELECT chrom, coalesce(sum(x), 0)::BIGINT AS left_records, count(x) AS left_unique, coalesce(sum(y), 0)::BIGINT AS right_records, count(y) AS right_unique, count(x + y) AS shared, count(*) FILTER (y IS NULL) AS only_left, count(*) FILTER (x IS NULL) AS only_right, round(count(x + y) / count(*), 9) AS jaccard, count(*) FILTER (x > 1) AS left_duplicated, count(*) FILTER (y > 1) AS right_duplicated

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
+import warnings
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,12 +52,7 @@ def find_breakpoints(cov: DataFrame, partitions: DataFrame, n_bpoints: int | Non
     targets = {c: n_bpoints if n_bpoints is not None else signal.target_minima(n, between) for c, n in sizes.items()}
     widths = signal.search_widths(inside, targets, **(search or {}))
     width_rows = spark.createDataFrame([(c, targets[c], w) for c, w in widths.items()], "chrom string, n_bpoints int, found_width int")
-    found = None
-    for c, w in widths.items():
-        own = signal.minima_positions(signal.smooth(inside.filter(F.col("chrom") == c), [w], periodic))
-        found = own if found is None else found.unionByName(own)
-    if found is None:
-        found = spark.createDataFrame([], "chrom string, width int, locus bigint")
+    found = signal.minima_positions(signal.smooth(inside, {c: [w] for c, w in widths.items()}, periodic))
     numbered = Window.partitionBy("chrom").orderBy("locus")
     sets = {"fourier": found.select("chrom", (F.row_number().over(numbered) - 1).cast("bigint").alias("idx"), "locus")}
     sets["fourier"] = materialize(sets["fourier"], "fourier")
@@ -89,31 +87,57 @@ def find_breakpoints(cov: DataFrame, partitions: DataFrame, n_bpoints: int | Non
     return Breakpoints(out, summed, width_rows)
 
 
+def _same_parameters(spark: SparkSession, path: str, values: dict) -> bool:
+    """Whether `path` holds these parameters of an earlier run."""
+    want = json.dumps(values, sort_keys=True)
+    try:
+        return [r[0] for r in spark.read.text(path).collect()] == [want]
+    except AnalysisException:  # not written yet
+        return False
+
+
 def run(spark: SparkSession, vcf: str, genetic_map: str, output: str, individuals: str | None = None, region: str | None = None, ne: float = scalar.NE, cutoff: float = 1e-7, window: int = 5000, n_bpoints: int | None = None, between: int = 10_000, subset: str = "fourier_ls", full: bool = False, force: bool = False, keep_covariance: bool = True, search: dict | None = None) -> dict[str, str]:
-    """A text VCF and its genetic map to blocks: every stage's output under `output`, finished partitions are not computed again."""
+    """A text VCF and its genetic map to blocks: every stage's output under `output`.
+
+    All chromosomes of the file run together; partitions and vectors are
+    written in a folder for each. Finished partitions are not computed again if
+    the parameters they depend on are the same.
+    """
     chosen = [r["sample"] for r in text.read_individuals(spark, individuals).orderBy("ord").collect()] if individuals else text.vcf_samples(spark, vcf)
-    variants = text.read_vcf(spark, vcf, chosen, region)
-    chrom = variants.select("chrom").first()
-    if chrom is None:
-        raise ValueError("no variants in the input")
-    gmap = text.read_genetic_map(spark, genetic_map, chrom[0])
-    variants = text.usable(variants.join(gmap.select("chrom", "pos", F.col("cm").alias("g")), ["chrom", "pos"]))
+    found = text.read_vcf(spark, vcf, chosen, region)
+    gmap = text.map_of(found, text.read_genetic_map(spark, genetic_map))
+    variants = text.usable(found.join(gmap.select("chrom", "pos", F.col("cm").alias("g")), ["chrom", "pos"]))
     panel = materialize(covariance.prepare_panel(variants), "panel")
+    chroms = [r["chrom"] for r in panel.select("chrom").distinct().orderBy("chrom").collect()]  # one row a chromosome
+    if not chroms:
+        raise ValueError("no variants in the input")
+    backward = [r["chrom"] for r in covariance.non_monotonic(panel).filter("inversions > 0").collect()]
+    if backward:
+        warnings.warn(f"the genetic map goes backwards on {', '.join(backward)}", stacklevel=2)
+    for r in text.skip_counts(found).filter("unphased > 0 or duplicates > 0").collect():
+        warnings.warn(f"{r['chrom']}: {r['unphased']} unphased or incomplete records and {r['duplicates']} repeated positions are left out", stacklevel=2)
     parts = materialize(maps.partition_chromosome(gmap, len(chosen), window, ne), "partitions")
-    paths = {k: os.path.join(output, k) for k in ("partitions", "covariance", "vector", "breakpoints", "blocks")}
-    sinks.write_partitions(parts, paths["partitions"], chrom[0])
+    paths = {k: os.path.join(output, k) for k in ("partitions", "covariance", "vector", "breakpoints", "blocks", "parameters")}
+    for c in chroms:
+        sinks.write_partitions(parts, os.path.join(paths["partitions"], c), c)
     store = CovarianceStore(spark, paths["covariance"])
-    have = set() if force else store.present()
+    size = panel.agg(F.sum(F.xxhash64("chrom", "pos", "g", "n1").cast("decimal(38,0)"))).first()[0]
+    values = {"vcf": vcf, "map": genetic_map, "region": region, "samples": chosen, "ne": ne, "cutoff": cutoff, "window": window, "full": full, "panel": str(size)}
+    have = store.present() if not force and _same_parameters(spark, paths["parameters"], values) else set()
     todo = [r for r in parts.collect() if (r["chrom"], r["p_index"]) not in have]  # one row a window
     if todo:
+        if not have:
+            store.delete()
+        spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(paths["parameters"])
         wanted = spark.createDataFrame([tuple(r) for r in todo], parts.schema)
         store.write(covariance.by_partition(covariance.covariance(panel, 2 * len(chosen), len(chosen), ne, cutoff, full), wanted))
     cov = store.read(full)
     signal_frame = materialize(vector.to_vector(cov, parts), "vector")
-    sinks.write_vector(signal_frame, paths["vector"], chrom[0])
-    found = find_breakpoints(cov, parts, n_bpoints, between, (subset,), signal_frame, search)
-    sinks.write_breakpoints(sinks.breakpoints_json(found.sets, found.widths, found.metrics, list(SUBSETS)), paths["breakpoints"])
-    sinks.write_bed(intervals.blocks_of(found.sets.filter(F.col("subset") == subset), vector.default_range(parts)), paths["blocks"])
+    for c in chroms:
+        sinks.write_vector(signal_frame, os.path.join(paths["vector"], c), c)
+    made = find_breakpoints(cov, parts, n_bpoints, between, (subset,), signal_frame, search)
+    sinks.write_breakpoints(sinks.breakpoints_json(made.sets, made.widths, made.metrics, list(SUBSETS)), paths["breakpoints"])
+    sinks.write_bed(intervals.blocks_of(made.sets.filter(F.col("subset") == subset), vector.default_range(parts)), paths["blocks"])
     if not keep_covariance:
         store.delete()
     return paths

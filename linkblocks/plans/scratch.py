@@ -12,9 +12,11 @@ _paths: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """Under spark.checkpoint.dir; only where the cluster names none (tests), a local folder."""
+    """Under spark.checkpoint.dir; a local folder only where the cluster names none and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="linkblocks-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/linkblocks-{spark.sparkContext.applicationId}"

@@ -32,13 +32,26 @@ def count_individuals(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).filter(F.trim("value") != "").count()
 
 
+def bare(chrom: Column) -> Column:
+    """A chromosome's name without 'chr'."""
+    return F.regexp_replace(chrom, "^chr", "")
+
+
 def read_genetic_map(spark: SparkSession, path: str, chrom: str | None = None) -> DataFrame:
-    """chrom, row_no, pos, cm from columns 1, 2 and 3; of repeated positions the last counts."""
-    rows = _fields(spark, path).filter(F.size("f") >= 3).select((F.lit(chrom) if chrom else F.col("f")[0]).alias("chrom"), "row_no", _int(F.col("f")[1]).alias("pos"), F.col("f")[2].try_cast("double").alias("cm")).dropna()
+    """chrom, row_no, pos, cm from columns 1, 2 and 3; of repeated positions the last counts. chrom: its rows alone (with or without 'chr'), under that name."""
+    rows = _fields(spark, path).filter(F.size("f") >= 3).select(F.col("f")[0].alias("chrom"), "row_no", _int(F.col("f")[1]).alias("pos"), F.col("f")[2].try_cast("double").alias("cm")).dropna()
+    if chrom is not None:
+        rows = rows.filter(bare(F.col("chrom")) == bare(F.lit(chrom))).withColumn("chrom", F.lit(chrom))
     last = rows.groupBy("chrom", "pos").agg(F.max_by("cm", "row_no").alias("cm"), F.min("row_no").alias("row_no"))
     return last.select("chrom", "row_no", "pos", "cm")
 
 
+def map_of(variants: DataFrame, gmap: DataFrame) -> DataFrame:
+    """gmap under the variants' names of chromosomes (with or without 'chr'); chromosomes that the variants lack are left out."""
+    names = variants.select("chrom").distinct().select(F.col("chrom").alias("_name"), bare(F.col("chrom")).alias("_bare"))
+    return gmap.join(F.broadcast(names), bare(F.col("chrom")) == F.col("_bare")).withColumn("chrom", F.col("_name")).drop("_name", "_bare")  # one row a chromosome
+
+
 def read_recombination_map(spark: SparkSession, path: str, chrom: str) -> DataFrame:
     """chrom, row_no, pos, rate, cum_cm; the header line is skipped."""
     rows = _fields(spark, path).select("row_no", _int(F.col("f")[0]).alias("pos"), F.get("f", F.lit(1)).try_cast("double").alias("rate"), F.get("f", F.lit(2)).try_cast("double").alias("cum_cm")).dropna()
@@ -83,7 +96,6 @@ def read_centromeres(spark: SparkSession, path: str, chrom: str | None = None, m
     at = F.when(binned, 1).otherwise(0)
     out = rows.select(F.get("f", at).alias("chrom"), _int(F.get("f", at + 1)).alias("start"), _int(F.get("f", at + 2)).alias("stop")).dropna()
     if chrom is not None:
-        bare = lambda c: F.regexp_replace(c, "^chr", "")
         out = out.filter(bare(F.col("chrom")) == bare(F.lit(chrom)))
     return out.groupBy("chrom").agg(F.min("start").alias("start"), F.max("stop").alias("stop")) if merge_arms else out
 
@@ -99,7 +111,7 @@ def read_table(spark: SparkSession, path: str, names: list[str] | None = None) -
     if names is None:
         head = spark.read.text(path).first()
         names = re.split(r"\s+", (head[0] if head else "").strip().lstrip("#"))
-    rows = _fields(spark, path).filter((F.trim("value") != "") & (F.regexp_replace(F.trim("value"), r"^#", "") != F.lit(" ".join(names))))
+    rows = _fields(spark, path).filter((F.trim("value") != "") & (F.regexp_replace(F.array_join("f", " "), r"^#", "") != F.lit(" ".join(names))))
     out = rows.select("row_no", *[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)])
     return out.filter(F.col(f"`{names[0]}`") != names[0])
 

@@ -37,6 +37,18 @@ def test_interval_algebra(spark):
     assert intervals.boundary_jaccard(points(spark, [100, 101]), points(spark, [100]), 5).first()["jaccard"] == 0.5
     small = blocks(spark, [(10, 14), (14, 100), (100, 200)]).withColumn("n", F.when(F.col("start") == 10, 1).otherwise(200).cast("bigint"))
     assert pairs(intervals.merge_small(small, 100)) == [(10, 100), (100, 200)]
+    sizes = lambda ns, least: [r["n"] for r in intervals.merge_small(spark.createDataFrame([("1", i, i + 1, n) for i, n in enumerate(ns)], "chrom string, start bigint, stop bigint, n bigint"), least).orderBy("start").collect()]
+    assert sizes([2, 1, 9, 1, 1, 8], 5) == [14, 8] and sizes([2, 4, 9, 1], 5) == [6, 10] and sizes([1, 2], 5) == [3] and sizes([7, 7], 5) == [7, 7]
+    rng = np.random.default_rng(2)
+    for _ in range(3):
+        x, y = ({int(v) for v in rng.integers(0, 300, 25)} for _ in range(2))
+        left, right, hits = sorted(x), sorted(y), 0
+        for p in left:  # the earliest boundary within reach that is still free
+            near = next((q for q in right if abs(p - q) <= 6), None)
+            if near is not None:
+                hits += 1
+                right.remove(near)
+        assert intervals.boundary_jaccard(points(spark, sorted(x)), points(spark, sorted(y)), 6).first()["jaccard"] == pytest.approx(hits / (len(x) + len(y) - hits))
     limits = spark.createDataFrame([("1", 5, 99), ("2", 1, 9)], "chrom string, snp_first bigint, snp_last bigint")
     cut = spark.createDataFrame([("1", 50)], "chrom string, locus bigint")
     assert pairs(intervals.blocks_of(cut, limits)) == [(1, 10), (5, 50), (50, 100)]
@@ -154,23 +166,44 @@ def test_local_search_against_a_loop(spark):
     assert (r["refined"], r["metric"]) == (700, None)
 
 
-def valley(*centers):
-    x = np.full(200, 5.0)
-    for c in centers:
-        for i in range(c - 10, c + 11):
-            x[i] = 5.0 - (10 - abs(i - c)) * 0.4
-    return x
-
-
-@pytest.mark.parametrize("centers", [(50,), (50, 150)])
-def test_minima_and_chunks(spark, centers):
-    x = valley(*centers)
-    v = spark.createDataFrame([("1", i, float(y)) for i, y in enumerate(x)], "chrom string, pos bigint, value double")
-    for chunk in (7, 64, 1000):
-        found = signal.smooth(v, [0, 5], chunk=chunk)
-        assert sorted(r["pos"] for r in found.filter("is_minimum and width = 5").collect()) == list(centers)
-        assert [r["smoothed"] for r in found.filter("width = 0").orderBy("idx").collect()] == x.tolist()
-    assert {r["width"]: r["minima"] for r in signal.minima_counts(v, [5, 50, 200]).collect()}[5] == len(centers)
+def loop_minima(x, width):
+    """Every output as a sum of its own, ends mirrored; and where it is below both neighbours."""
+    n, out = len(x), []
+    for i in range(n):
+        total = 0.0
+        for k, w in enumerate(scalar.hann(width)):
+            j = (i - width + k) % (2 * n)
+            total += w * x[j if j < n else 2 * n - 1 - j]
+        out.append(total)
+    return out, [i for i in range(1, n - 1) if out[i] < out[i - 1] and out[i] < out[i + 1]]
+
+
+def test_smoothing_and_minima_equal_a_loop_in_every_chunk(spark):
+    rng = np.random.default_rng(11)
+    signals = {"1": np.cumsum(rng.normal(0, 1, 83)) + 40, "2": rng.random(31)}
+    rows = [(c, 10 * i, float(y)) for c, x in signals.items() for i, y in enumerate(x)]
+    v = spark.createDataFrame(rows, "chrom string, pos bigint, value double")
+    for chunk in (9, 64, 1000):
+        found = signal.smooth(v, [0, 4, 50], chunk=chunk).collect()
+        counts = {(r["chrom"], r["width"]): r["minima"] for r in signal.minima_counts(v, [0, 4, 50], chunk=chunk).collect()}
+        for c, x in signals.items():
+            for w in (0, 4, 50):
+                own = sorted((r["idx"], r["smoothed"], r["is_minimum"], r["pos"]) for r in found if r["chrom"] == c and r["width"] == w)
+                want, low = loop_minima(x, w)
+                assert [r[0] for r in own] == list(range(len(x))) and [r[3] for r in own] == [10 * r[0] for r in own]
+                assert [r[1] for r in own] == pytest.approx(want) and [r[0] for r in own if r[2]] == low and counts[c, w] == len(low)
+    only = signal.smooth(v, {"2": [4]}).select("chrom", "width").distinct().collect()
+    assert [tuple(r) for r in only] == [("2", 4)]
+
+
+def test_widths_of_all_chromosomes_are_those_of_each(spark):
+    rng = np.random.default_rng(3)
+    rows = [(c, i, float(y)) for c, n in (("1", 300), ("2", 180), ("3", 240)) for i, y in enumerate(rng.random(n))]
+    v = spark.createDataFrame(rows, "chrom string, pos bigint, value double")
+    got = signal.search_widths(v, {"1": 8, "2": 5, "3": 4}, start=4, delta=6, step=2)
+    for c, target in (("1", 8), ("2", 5), ("3", 4)):
+        x = np.array([y for k, _, y in rows if k == c])
+        assert got[c] == signal.search_width(lambda ws, x=x: {w: len(loop_minima(x, w)[1]) for w in ws}, target, start=4, delta=6, step=2)
 
 
 def test_reflection_and_convolution():
@@ -230,19 +263,33 @@ def test_run_from_vcf_to_blocks(spark, tmp_path):
         lines.append("\t".join(["7", str(1000 + 50 * i), f"rs{i}", "A", "G", ".", ".", ".", "GT", *[f"{base[i, 2 * k]}|{base[i, 2 * k + 1]}" for k in range(people)]]))
     lines.append("\t".join(["7", "1000", "again", "A", "G", ".", ".", ".", "GT", *["0|1"] * people]))
     lines.append("\t".join(["7", "1050", "unphased", "A", "G", ".", ".", ".", "GT", *["0/1"] * people]))
+    for line in lines[2:]:  # the same again as chromosome 8
+        lines.append("8" + line[1:])
     vcf, gmap = tmp_path / "p.vcf.gz", tmp_path / "g.gz"
     vcf.write_bytes(gzip.compress(("\n".join(lines) + "\n").encode()))
-    gmap.write_bytes(gzip.compress("".join(f"7 {1000 + 50 * i} {i * 0.0004 + (i // 30) * 0.02}\n" for i in range(n)).encode()))
+    gmap.write_bytes(gzip.compress("".join(f"{c} {1000 + 50 * i} {i * 0.0004 + (i // 30) * 0.02}\n" for c in ("chr7", "8", "9") for i in range(n)).encode()))
     seen = text.read_vcf(spark, str(vcf))
-    assert tuple(text.skip_counts(seen).select("records", "unphased", "duplicates").first()) == (n + 2, 1, 1)
+    assert tuple(text.skip_counts(seen).filter("chrom = '7'").select("records", "unphased", "duplicates").first()) == (n + 2, 1, 1)
     with pytest.raises(ValueError, match="nobody"):
         text.read_vcf(spark, str(vcf), ["s1", "nobody"])
-    paths = pipeline.run(spark, str(vcf), str(gmap), str(tmp_path / "out"), window=40, n_bpoints=3, search={"start": 5, "delta": 10, "step": 2})
-    got = text.read_blocks(spark, paths["blocks"]).orderBy("start").collect()
+    options = {"window": 40, "n_bpoints": 3, "search": {"start": 5, "delta": 10, "step": 2}}
+    with pytest.warns(UserWarning, match="1 unphased or incomplete records and 1 repeated positions"):
+        paths = pipeline.run(spark, str(vcf), str(gmap), str(tmp_path / "out"), **options)
+    both = text.read_blocks(spark, paths["blocks"]).orderBy("start").collect()
+    got = [r for r in both if r["chrom"] == "7"]
+    assert [(r["start"], r["stop"]) for r in got] == [(r["start"], r["stop"]) for r in both if r["chrom"] == "8"]
     assert got[0]["start"] == 1000 and got[-1]["stop"] == 1000 + 50 * (n - 1) + 1
     assert all(a["stop"] == b["start"] for a, b in zip(got[:-1], got[1:], strict=True))
     saved = json.loads(spark.read.text(paths["breakpoints"]).first()[0])
     assert saved["computed_subsets"] == ["fourier", "fourier_ls"] and len(saved["subsets"]["fourier_ls"]["loci"]) == len(got) - 1
+    # a second run takes the stored partitions, one with another cutoff does not
+    store = CovarianceStore(spark, paths["covariance"])
+    rows = store.read().count()
+    store.write(spark.createDataFrame([("8", 0, 1000, 1000, 1.0)], "chrom string, p_index int, lo bigint, hi bigint, shrink_ld double"))
+    with pytest.warns(UserWarning):
+        assert store.read().count() < rows
+        pipeline.run(spark, str(vcf), str(gmap), str(tmp_path / "out"), cutoff=1e-6, **options)
+    assert store.read().count() > 0.5 * rows
 
 
 def test_mismatch_classes(spark):
