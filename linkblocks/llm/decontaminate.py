@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import chunked_array, lean, text_chunks
+from .common import chunked_array, lean, materialize, text_chunks
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-#: Benchmarks are broadcast; a larger one is refused, not cut.
-MAX_BENCHMARK_BYTES = 64 << 20
+#: Text of the items of one automaton, about; it takes some 70 bytes for each of theirs, on the driver and in every worker.
+GROUP_BYTES = 4 << 20
 
 
 class Automaton:
@@ -157,13 +157,16 @@ class Automaton:
         return starts, ends, bounds, hit, items, longest
 
 
-def build(benchmark: DataFrame, window: int) -> Automaton:
-    """The automaton of a benchmark table (item_id, text), which has to be small enough to broadcast."""
+def groups_of(benchmark: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
+    """How many automata a benchmark table (item_id, text) takes: items are dealt by a hash into groups of about group_bytes."""
     size = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; at most {MAX_BENCHMARK_BYTES} are broadcast")
-    rows = benchmark.select("item_id", F.col("text").cast("string")).collect()
-    return Automaton(sorted(((r[0], r[1]) for r in rows), key=lambda r: (str(r[0]), r[1] or "")), window)
+    return max(1, -(-size // group_bytes))
+
+
+def build(benchmark: DataFrame, window: int, groups: int = 1, group: int = 0) -> Automaton:
+    """The automaton of a group of items."""
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(groups)) == group)
+    return Automaton(sorted(((r[0], r[1]) for r in items.collect()), key=lambda r: (str(r[0]), r[1] or "")), window)
 
 
 def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -171,37 +174,123 @@ def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
-def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, items array<string>, spans array<struct<first, last>> (words, last not included), longest.
-
-    A window is `window` consecutive words of an item, or all of a shorter one.
-    A row for every row of docs; null text has no words; null item ids count as
-    the id "null"; items are distinct ids in the order of strings.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, window))
-    schema = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<first:int,last:int>>, longest int"
+def _match(rows: DataFrame, automaton: Automaton, everything: bool) -> DataFrame:
+    """rows with n_words, items, spans, longest for their text; without `everything` only those with a match."""
+    shared = rows.sparkSession.sparkContext.broadcast(automaton)
+    kept = [f for f in rows.schema.fields if f.name != "text"]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
         for batch, data, offsets in text_chunks(batches):
-            starts, _, bounds, hit, items, longest = automaton.scan(data, offsets)
+            _, _, bounds, hit, items, longest = shared.value.scan(data, offsets)
             n = len(batch)
-            sums = np.concatenate([[0], np.cumsum(hit)])
             names = [sorted("null" if i is None else str(i) for i in items[r]) if r in items else [] for r in range(n)]
             spans = [[{"first": a, "last": b} for a, b in _spans(hit[bounds[r] : bounds[r + 1]])] if r in items else [] for r in range(n)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sums[bounds[1:]] - sums[bounds[:-1]]), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array([longest.get(r, 0) for r in range(n)], pa.int32())],
-                ["doc_id", "n_words", "n_hit", "items", "spans", "longest"],
-            )
+            made = [pa.array(np.diff(bounds)), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array([longest.get(r, 0) for r in range(n)], pa.int32())]
+            out = pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + made, [f.name for f in kept] + ["n_words", "items", "spans", "longest"])
+            yield out if everything else out.filter(pa.array([bool(x) or longest.get(r, 0) > 0 for r, x in enumerate(names)]))
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "n_words bigint, items array<string>, spans array<struct<first:int,last:int>>, longest int"])
+    return rows.mapInArrow(lean(match), schema)
+
+
+def _n_hit(spans):
+    return F.aggregate(spans, F.lit(0).cast("bigint"), lambda acc, s: acc + s["last"] - s["first"])
+
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(match), schema)
+def _united(spans):
+    """Sorted spans of several groups, overlapping and touching ones as one."""
+    start = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("done"), F.lit(None).cast("struct<first:int,last:int>").alias("open"))
+    step = lambda acc, s: (
+        F.when(acc["open"].isNull(), F.struct(acc["done"].alias("done"), s.alias("open")))
+        .when(s["first"] <= acc["open"]["last"], F.struct(acc["done"].alias("done"), F.struct(acc["open"]["first"].alias("first"), F.greatest(acc["open"]["last"], s["last"]).alias("last")).alias("open")))
+        .otherwise(F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), s.alias("open")))
+    )
+    return F.aggregate(F.sort_array(spans), start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+
+
+def _match_groups(rows: DataFrame, benchmark: DataFrame, window: int, groups: int) -> DataFrame:
+    """row, items, spans, longest of the rows (row, text) with a match, from one pass for each group of items."""
+    found = None
+    for g in range(groups):
+        own = materialize(_match(rows, build(benchmark, window, groups, g), everything=False).drop("n_words"), "matches")
+        found = own if found is None else found.unionByName(own)
+    united = found.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.max("longest").alias("longest"))
+    return united.withColumn("spans", _united(F.col("spans")))
+
+
+def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, items array<string>, spans array<struct<first, last>> (words, last not included), longest.
+
+    A window is `window` consecutive words of an item, or all of a shorter one.
+    A row for every row of docs; null text has no words; null item ids count as
+    the id "null"; items are distinct ids in the order of strings. A benchmark
+    of more than group_bytes is matched group by group, in one pass over docs
+    for each, and hits are united by row.
+    """
+    groups = groups_of(benchmark, group_bytes)
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    if groups == 1:
+        matched = _match(texts, build(benchmark, window), everything=True)
+    else:
+        rows = materialize(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
+        none = Automaton([], window)
+        found = _match_groups(rows.select("row", "text"), benchmark, window, groups)
+        matched = _match(rows, none, everything=True).select("row", "doc_id", "n_words").join(found, "row", "left")
+        matched = matched.withColumns({"items": F.coalesce("items", F.array().cast("array<string>")), "spans": F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>")), "longest": F.coalesce("longest", F.lit(0))})
+    return matched.select("doc_id", "n_words", _n_hit(F.col("spans")).alias("n_hit"), "items", "spans", "longest")
 
 
 def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.8) -> DataFrame:
+def _without(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the spans of words and what stands between their words."""
+    parts, at = [], 0
+    for a, b in spans:
+        parts.append(raw[at : starts[a]].tobytes())
+        at = ends[b - 1]
+    return b"".join([*parts, raw[at:].tobytes()])
+
+
+def _with_text(docs: DataFrame, touched, text) -> DataFrame:
+    """docs with a new text, and n_chars after it, where touched."""
+    kinds = {f.name: f.dataType for f in docs.schema}
+    new = {"text": F.when(touched, text.cast(kinds["text"])).otherwise(F.col("text"))}
+    if "n_chars" in kinds:
+        new["n_chars"] = F.when(touched, F.char_length(text).cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
+    return docs.withColumns(new)
+
+
+def _remove_by_groups(docs: DataFrame, benchmark: DataFrame, window: int, max_coverage: float, groups: int) -> DataFrame:
+    """remove_spans for a benchmark of several automata: all groups' spans are found, united and cut, until none are found."""
+
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, spans in batches:
+            out = []
+            for text, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+                raw = np.frombuffer(text.encode(), np.uint8)
+                starts, ends, _ = words.spans(raw, np.array([0, len(raw)]))
+                out.append(_without(raw, starts, ends, [(s["first"], s["last"]) for s in own]).decode())
+            yield pa.array(out, pa.string())
+
+    names, first = docs.columns, True
+    docs = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
+    while True:
+        found = _match_groups(docs.select(F.col("_row").alias("row"), F.col("text").cast("string").alias("text")), benchmark, window, groups).filter(F.size("spans") > 0)
+        found = materialize(found.select(F.col("row").alias("_row"), F.col("spans").alias("_spans")), "spans")
+        if found.isEmpty():
+            return docs.select(*names)
+        hit = docs.join(found, "_row")
+        if first:
+            hit = hit.filter(_n_hit(F.col("_spans")) <= F.lit(max_coverage) * F.regexp_count(F.col("text").cast("string"), F.lit(WORD.pattern)))
+        first = False
+        new = F.arrow_udf(cut, "string")(F.col("text").cast("string"), F.col("_spans"))
+        cleaned = _with_text(hit.withColumn("_new", new), F.lit(True), F.col("_new")).select(*names, "_row")
+        docs = materialize(docs.join(found, "_row", "left_anti").select(*names, "_row").unionByName(cleaned), "docs")
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.8, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """docs without benchmark passages; all columns stay.
 
     Every span of words inside an item's window is cut out of the text, with
@@ -209,10 +298,13 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_co
     nothing is found. A document of whose words more than `max_coverage` are
     inside windows is dropped. Where there is an n_chars column it follows the
     new text. Untouched rows, nulls included, stay as they are. Only texts go to
-    Python, and only those that change come back.
+    Python, and only those that change come back. A benchmark of more than
+    group_bytes is matched group by group.
     """
+    groups = groups_of(benchmark, group_bytes)
+    if groups > 1:
+        return _remove_by_groups(docs, benchmark, window, max_coverage, groups)
     shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, window))
-    counted = "n_chars" in docs.columns
 
     def clean(text: str, automaton: Automaton) -> str | None:
         first = True
@@ -224,11 +316,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_co
             if first and hit.sum() > max_coverage * len(hit):
                 return None
             first = False
-            parts, at = [], 0
-            for a, b in _spans(hit):
-                parts.append(raw[at : starts[a]].tobytes())
-                at = ends[b - 1]
-            text = b"".join([*parts, raw[at:].tobytes()]).decode()
+            text = _without(raw, starts, ends, _spans(hit)).decode()
 
     def remove(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = shared.value
@@ -245,9 +333,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_co
     # not deterministic: else the filter below would be pushed down with a copy of the function
     cut = F.arrow_udf(remove, "touched boolean, text string").asNondeterministic()
     made = docs.withColumn("_cut", cut(F.col("text").cast("string"))).filter("not _cut.touched or _cut.text is not null")
-    touched = F.col("_cut.touched")
-    kinds = {f.name: f.dataType for f in docs.schema}
-    new = {"text": F.when(touched, F.col("_cut.text").cast(kinds["text"])).otherwise(F.col("text"))}
-    if counted:
-        new["n_chars"] = F.when(touched, F.char_length("_cut.text").cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
-    return made.withColumns(new).select(*docs.columns)
+    return _with_text(made, F.col("_cut.touched"), F.col("_cut.text")).select(*docs.columns)

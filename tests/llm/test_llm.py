@@ -522,9 +522,66 @@ def test_removed_passages_leave_no_match(spark):
     assert decontaminate.match_benchmark(spark.createDataFrame([tuple(r) for r in got.values()], docs.schema), bench).filter("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("group_bytes", [40, 150])
+def test_large_benchmarks_are_matched_group_by_group(spark, group_bytes):
+    rng = np.random.default_rng(8)
+    draw = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3, n))
+    items = [(i, draw(int(rng.integers(0, 14)))) for i in range(12)] + [(20, None), (None, "w0 w1 w2 w2")]
+    texts = [draw(int(rng.integers(0, 60))) for _ in range(40)] + ["clean é one", *ODD]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = docs_of(spark, texts, extra=True)
+    assert decontaminate.groups_of(bench, group_bytes) > 1
+    got = decontaminate.match_benchmark(docs, bench, 4, group_bytes).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in got} == brute_matches(texts, items, 4)
+    keyed = lambda df: {r["doc_id"]: (r["text"], r["n_chars"]) for r in df.collect()}
+    one, many = decontaminate.remove_spans(docs, bench, 4), decontaminate.remove_spans(docs, bench, 4, group_bytes=group_bytes)
+    assert keyed(one) == keyed(many) and many.columns == docs.columns
+
+
 # ---- 7 quality
 
 
+def loop_passages(text):
+    """Features of each passage of 64 words, letter by letter and word by word."""
+    raw, found = (text or "").encode(), []
+    for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw):
+        found.append((m.start(), m.group().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))))
+    bags = [found[i : i + 64] for i in range(0, max(len(found), 1), 64)]
+    begins = [0, *(b[0][0] for b in bags[1:]), len(raw)]
+    for k, bag in enumerate(bags):
+        part, n = raw[begins[k] : begins[k + 1]], max(len(bag), 1)
+        kinds = [0] * 8
+        for c in part:
+            x = chr(c) if c < 128 else "é"
+            kinds[0 if x.islower() else 1 if x.isupper() else 2 if x.isdigit() else 3 if x == " " else 4 if x == "\n" else 5 if x in ".,;:!?'\"-" else 6 if x.isprintable() else 7] += 1
+        sizes = [len(w) for _, w in bag]
+        codes = [int(words.hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for _, w in bag]
+        mean = sum(sizes) / n
+        share = [sum(x % quality.BUCKETS == b for x in codes) / n for b in range(quality.BUCKETS)]
+        more = [np.log1p(len(bag)), np.log1p(len(part)), mean, max(0, sum(x * x for x in sizes) / n - mean**2) ** 0.5, sum(x <= 3 for x in sizes) / n, sum(a == b for a, b in zip(codes[1:], codes, strict=False)) / n, len(set(codes)) / n, sum(x <= 1 for x in sizes) / n]
+        yield [x / max(len(part), 1) for x in kinds] + more + share
+
+
+def test_quality_passages_and_scores_equal_a_loop(spark, small):
+    texts = [*small[:25], "word " * 129, *ODD[:6], *ODD[7:]]
+    for limit in (50, 1 << 20):
+        got = []
+        for batch, data, offsets in common.text_chunks(iter(pa.table({"text": texts}).to_batches()), limit=limit):
+            x, first = quality.passages(data, offsets)
+            got += [x[first[i] : first[i + 1]] for i in range(len(batch))]
+        assert len(got) == len(texts)
+        for own, t in zip(got, texts, strict=True):
+            assert own == pytest.approx(np.array(list(loop_passages(t))), abs=2e-4)
+    rng = np.random.default_rng(0)
+    net = quality.Network(rng.random(quality.N_FEATURES), rng.random(quality.N_FEATURES) + 0.5)
+    p, scores = net.p, {r["doc_id"]: r["score"] for r in quality.score(docs_of(spark, texts, extra=True), net).collect()}
+    for i, t in enumerate(texts):
+        hidden = [np.tanh(np.clip((np.array(f) - net.mean) / net.scale, -8, 8) @ p["w"] + p["b"]) for f in loop_passages(t)]
+        gate = np.array([(np.tanh(h @ p["v"]) / (1 + np.exp(-(h @ p["u"])))) @ p["g"] for h in hidden])
+        a = np.exp(gate) / np.exp(gate).sum()
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-(sum(w * h for w, h in zip(a, hidden, strict=True)) @ p["c"] + p["d"][0]))), abs=1e-3)
+
+
 def test_quality_held_out(spark):
     docs, labels = common.table(spark, "/root/testdata/sf0.01", "documents"), common.table(spark, "/root/testdata/sf0.01", "labels")
     out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -732,6 +789,27 @@ def test_token_files_round_trip(spark, small, tmp_path):
     assert token_store.token_index(spark, empty).count() == 0
 
 
+def test_token_files_have_dictionaries_bounded_pages_and_indexes(spark, small, tmp_path):
+    import pyarrow.parquet as pq
+
+    docs = docs_of(spark, small * 30)
+    path = token_store.write_tokens(docs, str(tmp_path / "t"), files=2)
+    seen = 0
+    for file in sorted((tmp_path / "t").glob("*.parquet")):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            assert group.total_byte_size <= 1.5 * token_store.ROW_GROUP_BYTES
+            columns = {group.column(c).path_in_schema: group.column(c) for c in range(group.num_columns)}
+            ids = next(c for name, c in columns.items() if name.startswith("ids"))
+            assert "RLE_DICTIONARY" in ids.encodings or "PLAIN_DICTIONARY" in ids.encodings
+            assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+            assert all(not {"PLAIN"} >= set(c.encodings) for c in columns.values())  # dictionary or delta
+            seen += group.num_rows
+    assert seen == len(small) * 30
+    assert token_store.read_tokens(spark, path, 100, 120).count() == 21
+
+
 # ---- pipeline
 
 
