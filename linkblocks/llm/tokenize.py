@@ -21,7 +21,7 @@ from . import words
 
 LETTER, NUMBER, SPACE, OTHER, LIBRARY = 0, 1, 2, 3, 4
 #: Pieces kept for look-up; beyond that the store starts again, which costs time only.
-MAX_PIECES = 400_000
+MAX_PIECES = 1_500_000
 #: Slots of the direct-mapped table in front of the store.
 FRONT_BITS = 18
 #: Bytes of a piece that fit two integers together with its length.
@@ -56,7 +56,9 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[bytes, int] = {}  # index into begin and size
+        # index into begin and size: of short pieces, by sorted scrambles of their two integers; of long ones, by their bytes
+        self.keys, self.pair, self.at = np.empty(0, np.uint64), np.empty((2, 0), np.uint64), np.empty(0, np.int32)
+        self.long: dict[bytes, int] = {}
         self.begin, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
         self.front = np.zeros((2, 1 << FRONT_BITS), np.uint64)
         self.front_place = np.zeros(1 << FRONT_BITS, np.int32)
@@ -106,26 +108,44 @@ class Encoder:
         first[-1] = False
         return np.flatnonzero(first), rows
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Encode pieces not met before. Those of a blank and ASCII letters are joined, so that one call encodes many."""
-        joined = [p for p in pieces if len(p) > 1 and p[0] == 32 and p[1:].isalpha()]
-        single = [p for p in pieces if not (len(p) > 1 and p[0] == 32 and p[1:].isalpha())]
-        got = self.library.encode_batch_fast([b"".join(joined[i : i + 256]).decode() for i in range(0, len(joined), 256)], add_special_tokens=False)
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Encode pieces not met before; returns their places. Those of a blank and ASCII letters are joined, so that one call encodes many."""
+        plain = np.array([len(p) > 1 and p[0] == 32 and p[1:].isalpha() for p in pieces])
+        joined, rest = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
+        got = self.library.encode_batch_fast([b"".join([pieces[i] for i in joined[k : k + 256]]).decode() for k in range(0, len(joined), 256)], add_special_tokens=False)
         flat = np.array([x for y in got for x in y.ids], np.int32)
-        last = np.searchsorted(np.cumsum(self._sizes[flat]), np.cumsum([len(p) for p in joined])) + 1  # no id crosses from one piece to the next
-        alone = [x.ids for x in self.library.encode_batch_fast([p.decode() for p in single], add_special_tokens=False)]
+        last = np.searchsorted(np.cumsum(self._sizes[flat]), np.cumsum([len(pieces[i]) for i in joined])) + 1  # no id crosses from one piece to the next
+        alone = [x.ids for x in self.library.encode_batch_fast([pieces[i].decode() for i in rest], add_special_tokens=False)]
         size = np.concatenate([np.diff(last, prepend=0), np.fromiter(map(len, alone), np.int64, len(alone))]).astype(np.int64)
-        self.place.update(zip([*joined, *single], range(len(self.begin), len(self.begin) + len(size)), strict=True))
+        places = np.empty(len(pieces), np.int64)
+        places[joined + rest] = np.arange(len(self.begin), len(self.begin) + len(size))
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, flat, np.array([x for y in alone for x in y], np.int32)])
-
-    def _look_up(self, pieces: list[bytes]) -> np.ndarray:
-        """Index of each piece."""
-        new = list(dict.fromkeys(p for p in pieces if p not in self.place))
+        return places
+
+    def _look_up_short(self, head: np.ndarray, tail: np.ndarray, pieces) -> np.ndarray:
+        """Places of distinct short pieces; `pieces` gives the bytes of some. Both integers are compared, so a shared key costs time only."""
+        key = words.mix(head ^ words.mix(tail))
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        places = np.full(len(key), -1)
+        if len(self.keys):
+            known = (self.pair[0][at] == head) & (self.pair[1][at] == tail)
+            places[known] = self.at[at[known]]
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            places[new] = self._learn(pieces(new))
+            new = new[np.argsort(key[new])]
+            at = np.searchsorted(self.keys, key[new])
+            self.keys, self.at = np.insert(self.keys, at, key[new]), np.insert(self.at, at, places[new])
+            self.pair = np.insert(self.pair, at, np.stack([head[new], tail[new]]), axis=1)
+        return places
+
+    def _look_up_long(self, pieces: list[bytes]) -> np.ndarray:
+        new = list(dict.fromkeys(p for p in pieces if p not in self.long))
         if new:
-            self._learn(new)
-        return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+            self.long.update(zip(new, self._learn(new).tolist(), strict=True))
+        return np.fromiter(map(self.long.__getitem__, pieces), np.int64, len(pieces))
 
     @property
     def _sizes(self) -> np.ndarray:
@@ -151,7 +171,7 @@ class Encoder:
         starts, ends, rows = starts[keep], ends[keep], rows[keep]
         which = np.empty(len(starts), np.int64)
         if len(starts):
-            if len(self.place) > MAX_PIECES:
+            if len(self.begin) > MAX_PIECES:
                 self._clear()
             view, whole, length = words.lanes(data), data.tobytes(), ends - starts
             piece = lambda at: [whole[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
@@ -166,12 +186,12 @@ class Encoder:
                 first = np.ones(len(order), bool)
                 first[1:] = (head[order][1:] != head[order][:-1]) | (tail[order][1:] != tail[order][:-1])
                 one = order[first]
-                known = self._look_up(piece(short[one]))
+                known = self._look_up_short(head[one], tail[one], lambda new: piece(short[one[new]]))
                 found[order] = known[np.cumsum(first) - 1]
                 self.front[0][slot[one]], self.front[1][slot[one]], self.front_place[slot[one]] = head[one], tail[one], known
             which[short] = found
             long = np.flatnonzero(length > SHORT)
-            which[long] = self._look_up(piece(long))
+            which[long] = self._look_up_long(piece(long))
         begin, size, flat, extra = self.begin, self.size, self.flat, []
         for row in np.flatnonzero(by_library).tolist():
             extra.append((row, self.encode_text(data[offsets[row] : offsets[row + 1]].tobytes().decode())))
