@@ -27,8 +27,8 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 #: Text that one file's documents hold together, about.
 FILE_BYTES = 256 << 20
-#: Text that is encoded at once.
-ENCODE_BYTES = 1 << 19
+#: Text that is encoded at once; what pieces cost that were not met before is shared by a chunk.
+ENCODE_BYTES = 1 << 20
 
 
 def default_tokenizer() -> str:
