@@ -110,7 +110,7 @@ def local_density(points: DataFrame, gmap: DataFrame, window: int) -> DataFrame:
 def classify_stage(rows: DataFrame, raw: str, refined: str, tolerance: int) -> DataFrame:
     """rows with stage: how a boundary's distance changed from the raw to the refined set."""
     a, b = F.col(raw), F.col(refined)
-    kind = (
+    kind = (  # fixed values: the names of the stages
         F.when(a.isNull() | b.isNull(), "missing_stage")
         .when((a <= tolerance) & (b <= tolerance), "both_close")
         .when(a <= tolerance, "local_search_moved_away")

@@ -39,3 +39,8 @@ def stage(spark: SparkSession, source: str, name: str, make: Callable[[], DataFr
         _paths[key] = (path, made.schema)
     path, schema = _paths[key]
     return spark.read.schema(schema).parquet(path)
+
+
+def forget() -> None:
+    """Make every stage anew when it is next asked for."""
+    _paths.clear()

@@ -54,6 +54,7 @@ def test_interval_algebra(spark):
     assert pairs(intervals.blocks_of(cut, limits)) == [(1, 10), (5, 50), (50, 100)]
 
 
+# Small maps, and what each mode has to make of them.
 @pytest.mark.parametrize(
     "mode, rows, snps, want",
     [
