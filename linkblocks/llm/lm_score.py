@@ -39,7 +39,7 @@ VOCABULARY, BUCKETS, HIDDEN = 8192, 1024, 16
 OFFSETS = (-2, -1, 1, 2)
 STEP_WORDS, RATE = 32_768, 0.15
 #: Words of a unit, and rounds that units are dealt into.
-UNIT_WORDS, ROUNDS = 1 << 20, 6
+UNIT_WORDS, ROUNDS = 1 << 21, 6
 #: Slices of the parameters that are averaged apart from each other; copies that one task averages.
 SLICES, FAN_IN = 64, 256
 LEVELS = 3
