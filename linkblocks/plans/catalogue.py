@@ -379,27 +379,30 @@ def _limits(s, d):
 
 _WINDOWS = """
 lim AS (SELECT chrom, arg_min("start", p_index) AS a, arg_max("end", p_index) AS z FROM parts GROUP BY chrom),
-win AS MATERIALIZED (SELECT b.chrom, idx, locus, coalesce(lg + (locus - lg) // 2, a) AS "first", coalesce(locus + (ld - locus) // 2, z) AS stop, coalesce(lg, a) AS bottom, coalesce(ld, z) AS top, lg IS NULL AS is_first
-  FROM (SELECT *, lag(locus) OVER w AS lg, lead(locus) OVER w AS ld FROM bp WINDOW w AS (PARTITION BY chrom ORDER BY idx)) b JOIN lim USING (chrom))"""
+raw_win AS (SELECT b.chrom, idx, locus, coalesce(lg + (locus - lg) // 2, a) AS "first", coalesce(locus + (ld - locus) // 2, z) AS stop, lg, ld, lg IS NULL AS is_first
+  FROM (SELECT *, lag(locus) OVER w AS lg, lead(locus) OVER w AS ld FROM bp WINDOW w AS (PARTITION BY chrom ORDER BY idx)) b JOIN lim USING (chrom)),
+end_win AS (SELECT w.*, coalesce(lg, (SELECT arg_min(p."start", p_index) FROM parts p WHERE p.chrom = w.chrom AND w."first" BETWEEN p."start" AND p."end")) AS bottom,
+  coalesce(ld, (SELECT arg_max(p."end", p_index) FROM parts p WHERE p.chrom = w.chrom AND w.stop BETWEEN p."start" AND p."end")) AS top FROM raw_win w),
+win AS MATERIALIZED (SELECT w.*, greatest(stop, (SELECT arg_max(p."start", p_index) FROM parts p WHERE p.chrom = w.chrom AND w.top BETWEEN p."start" AND p."end")) AS listed FROM end_win w)"""
 _CURVES = _WINDOWS + """,
 held AS (SELECT r.chrom, w.idx, lo, hi, r2 FROM r2 r JOIN win w ON w.chrom = r.chrom AND (lo > w."first" OR (w.is_first AND lo >= w."first")) AND lo <= w.stop AND hi <= w.top),
 chg AS (SELECT chrom, idx, pos, sum(x) AS d FROM (SELECT chrom, idx, lo AS pos, r2 AS x FROM held UNION ALL SELECT chrom, idx, hi, -r2 FROM held) GROUP BY ALL),
-lst AS (SELECT l.chrom, w.idx, w.locus, w."first", l.pos, row_number() OVER (PARTITION BY w.chrom, w.idx ORDER BY l.pos) - 1 AS r FROM loci l JOIN win w ON w.chrom = l.chrom AND l.pos >= w.bottom AND l.pos <= w.stop),
+lst AS (SELECT l.chrom, w.idx, w.locus, w."first", w.stop, l.pos, row_number() OVER (PARTITION BY w.chrom, w.idx ORDER BY l.pos) - 1 AS r FROM loci l JOIN win w ON w.chrom = l.chrom AND l.pos >= w.bottom AND l.pos <= w.listed),
 lsu AS (SELECT l.*, coalesce(c.d, 0) AS d, max(r) OVER p AS tr, max(r) FILTER (l.pos <= locus) OVER p AS ar, max(l.pos) FILTER (l.pos <= locus) OVER p AS ap FROM lst l LEFT JOIN chg c ON c.chrom = l.chrom AND c.idx = l.idx AND c.pos = l.pos WINDOW p AS (PARTITION BY l.chrom, l.idx)),
 cur AS MATERIALIZED (
   SELECT chrom, idx, locus, pos, side, s0 + ds AS sum, n0 + dn AS n, abs(pos - ap) AS dist, s0, n0 FROM (
-    SELECT *, 'right' AS side, sum(d) OVER a AS ds, sum(tr - 2 * r + 1) OVER a AS dn FROM lsu WHERE r > ar WINDOW a AS (PARTITION BY chrom, idx ORDER BY r ROWS UNBOUNDED PRECEDING)
+    SELECT *, 'right' AS side, sum(d) OVER a AS ds, sum(tr - 2 * r + 1) OVER a AS dn FROM lsu WHERE r > ar AND pos <= stop WINDOW a AS (PARTITION BY chrom, idx ORDER BY r ROWS UNBOUNDED PRECEDING)
     UNION ALL SELECT *, 'left' AS side, sum(-d) OVER b AS ds, sum(-(tr - 2 * r + 1)) OVER b AS dn FROM lsu WHERE r < ar AND pos > "first" WINDOW b AS (PARTITION BY chrom, idx ORDER BY r DESC ROWS UNBOUNDED PRECEDING)
   ) JOIN (SELECT chrom, sum AS s0, n_zero AS n0 FROM met) USING (chrom))"""
 
 
-@query("win_06_search_windows", 'SELECT chrom, idx, locus, "first", stop, bottom, top FROM win', _WINDOWS)
+@query("win_06_search_windows", 'SELECT chrom, idx, locus, "first", stop, bottom, top, listed FROM win', _WINDOWS)
 def win_06(s, d):
-    return local_search.windows(_breakpoints(s, d), _limits(s, d)).drop("is_first")
+    return local_search.windows(_breakpoints(s, d), _limits(s, d), fx.partitions(s, d)).drop("is_first")
 
 
 def _curves(s, d):
-    spans = local_search.valid(local_search.windows(_breakpoints(s, d), _limits(s, d)))
+    spans = local_search.valid(local_search.windows(_breakpoints(s, d), _limits(s, d), fx.partitions(s, d)))
     return local_search.curves(spans, _norm(s, d), _loci(s, d), _totals(s, d))
 
 
@@ -414,7 +417,7 @@ def win_14(s, d):
 
 
 def _refined(s, d):
-    return local_search.search(_breakpoints(s, d), _limits(s, d), _norm(s, d), _loci(s, d), _totals(s, d))
+    return local_search.search(_breakpoints(s, d), _limits(s, d), _norm(s, d), _loci(s, d), _totals(s, d), fx.partitions(s, d))
 
 
 _BEST = """,

@@ -71,7 +71,7 @@ def find_breakpoints(cov: DataFrame, partitions: DataFrame, n_bpoints: int | Non
         raw = materialize(metric.metric(off, loci, sets[name]), "metric")
         metrics.append(raw.withColumn("subset", F.lit(name)).withColumn("unrefined_count", F.lit(None).cast("bigint")))
         if f"{name}_ls" in wanted:
-            moved = materialize(local_search.search(sets[name], limits, pairs, loci, raw), "refined")
+            moved = materialize(local_search.search(sets[name], limits, pairs, loci, raw, partitions), "refined")
             sets[f"{name}_ls"] = moved.select("chrom", "idx", F.col("refined").alias("locus"))
             left = metric.unrefined(moved).withColumnRenamed("unrefined", "unrefined_count")
             metrics.append(metric.metric(off, loci, sets[f"{name}_ls"]).join(left, "chrom", "left").withColumn("subset", F.lit(f"{name}_ls")))

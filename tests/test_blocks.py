@@ -121,18 +121,25 @@ def test_metric(spark, cuts):
     assert (got["n_nonzero"], got["n_zero"]) == (exact["n_nonzero"], float(exact["n_zero"]))
 
 
-def brute_search(loci, pairs_, bps, k, first, last, total, n):
+def brute_search(loci, pairs_, bps, k, first, last, total, n, parts=()):
     start = first if k == 0 else (bps[k - 1] + (bps[k] - bps[k - 1]) // 2)
     stop = last if k == len(bps) - 1 else bps[k] + (bps[k + 1] - bps[k]) // 2
     bottom = bps[k - 1] if k else first
     top = bps[k + 1] if k + 1 < len(bps) else last
+    listed = stop
+    if parts:
+        bottom = bps[k - 1] if k else next(x for x, y in parts if x <= start <= y)
+        top = bps[k + 1] if k + 1 < len(bps) else [y for x, y in parts if x <= stop <= y][-1]
+        listed = max(stop, [x for x, y in parts if x <= top <= y][-1])
     held = [(a, b, v) for a, b, v in pairs_ if (a > start or (k == 0 and a >= start)) and a <= stop and b <= top]
     change = {x: sum(v for a, _, v in held if a == x) - sum(v for _, b, v in held if b == x) for x in loci}
-    seen = [x for x in loci if bottom <= x <= stop]
+    seen = [x for x in loci if bottom <= x <= listed]
     at = max(i for i, x in enumerate(seen) if x <= bps[k])
     best, where, dist = total / n, bps[k], 0
     s, m = total, n
     for i in range(at + 1, len(seen)):
+        if seen[i] > stop:
+            break
         s, m = s + change[seen[i]], m + (len(seen) - 1 - i) - (i - 1)
         if m > 0 and s / m < best:
             best, where, dist = s / m, seen[i], seen[i] - seen[at]
@@ -161,6 +168,26 @@ def test_local_search_against_a_loop(spark):
     for k in range(3):
         where, best = brute_search(loci, rows, bps, k, 100, 4000, t["sum"], t["n_zero"])
         assert got[k][0] == where and got[k][1] == pytest.approx(best)
+    # a chromosome for each layout: one partition, two, three whose last begins at a breakpoint, and one that ends before the last window
+    layouts = {"1": [(100, 4000)], "2": [(100, 2500), (2200, 4000)], "3": [(100, 1400), (200, 3000), (2800, 4000)], "4": [(100, 3000)]}
+    frame = spark.createDataFrame([(c, i, *x) for c, parts in layouts.items() for i, x in enumerate(parts)], "chrom string, p_index bigint, start bigint, end bigint")
+    every = lambda rows, schema: spark.createDataFrame([(c, *r) for c in layouts for r in rows], schema)
+    got = local_search.search(
+        every([(i, x) for i, x in enumerate(bps)], b.schema),
+        every([(300, 3700, 300, 3700)], limits.schema),
+        every(rows, p.schema),
+        every([(x,) for x in loci], "chrom string, pos bigint"),
+        every([tuple(t)[1:]], totals.schema),
+        frame,
+    ).collect()
+    got = {(r["chrom"], r["idx"]): (r["refined"], r["metric"]) for r in got}
+    for c, parts in layouts.items():
+        for k in range(3):
+            if (c, k) == ("4", 2):
+                assert got[c, k] == (2800, None)
+                continue
+            where, best = brute_search(loci, rows, bps, k, 300, 3700, t["sum"], t["n_zero"], parts)
+            assert got[c, k][0] == where and got[c, k][1] == pytest.approx(best)
     # one breakpoint has no empty cells: the original stays, without a metric
     one = b.filter("idx = 0")
     r = local_search.search(one, limits, p, points(spark, loci), metric.metric(p, points(spark, loci), one)).first()
