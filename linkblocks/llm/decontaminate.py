@@ -52,9 +52,9 @@ class Automaton:
             own = self.owners.setdefault(size, {})
             state = matched = 0
             for i, c in enumerate(sequence):
-                state, matched = self.step(state, matched, c)
+                state, matched = self.step_within(state, matched, c, size)
                 if i + 1 >= size:
-                    own.setdefault(self.anchor(state, size), set()).add(item)
+                    own.setdefault(state, set()).add(item)
                 if i:
                     pairs.add((sequence[i - 1] << 32) | c)
         self.pairs = np.array(sorted(pairs), np.int64)
@@ -99,20 +99,25 @@ class Automaton:
         to = self.next[state].get(c)
         return (0, 0) if to is None else (to, matched + 1)
 
-    def anchor(self, state: int, size: int) -> int:
-        """The state that holds the last `size` words of what `state` has matched."""
-        while self.length[self.link[state]] >= size:
-            state = self.link[state]
-        return state
+    def step_within(self, state: int, matched: int, c: int, size: int) -> tuple[int, int]:
+        """The same for a match of `size` words at most: a longer one loses its first word, which is one link up at most."""
+        state, matched = self.step(state, matched, c)
+        if matched > size:
+            matched = size
+            if self.length[self.link[state]] >= size:
+                state = self.link[state]
+        return state, matched
 
     def stream(self, sequence: list[int]) -> tuple[np.ndarray, set, int]:
         """For consecutive word ids: which words are inside an item's window, the items, the longest match."""
         hit, items, longest, state, matched = np.zeros(len(sequence), bool), set(), 0, 0, 0
+        within = dict.fromkeys(self.owners, (0, 0))
         for i, c in enumerate(sequence):
             state, matched = self.step(state, matched, c)
             longest = max(longest, matched)
             for size, own in self.owners.items():
-                if matched >= size and (found := own.get(self.anchor(state, size))):
+                at, n = within[size] = self.step_within(*within[size], c, size)
+                if n == size and (found := own.get(at)):
                     hit[i + 1 - size : i + 1] = True
                     items |= found
         return hit, items, longest
