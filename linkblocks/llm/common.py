@@ -95,3 +95,11 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
 def unit_hash(*cols) -> F.Column:
     """A number in [0, 1) that depends on the values only: 52 bits of their MD5."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

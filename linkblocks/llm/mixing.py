@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, unit_hash
+from .common import fresh, materialize, unit_hash
 from .components import join_facts
 
 MARGINS = ("source", "lang", "topic")
@@ -176,11 +176,12 @@ def sample(docs: DataFrame, **options) -> DataFrame:
     """The kept rows of docs with all their columns."""
     seen = features(docs).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     fitted = fit_cells(materialize(seen, "cells"), **options)
-    cell = {m: f"_cell_{m}" for m in MARGINS}
-    fitted = fitted.withColumnsRenamed(cell | {"probability": "_probability"})
+    cell = {m: fresh(docs, f"cell_{m}") for m in MARGINS}
+    probability = fresh(docs, "probability")
+    fitted = fitted.withColumnsRenamed(cell | {"probability": probability})
     keyed = docs.withColumns({cell[m]: c for m, c in _cell().items()})
     joined = keyed.join(fitted, list(cell.values()))
-    return joined.filter(unit_hash(F.lit(SEED), F.col("doc_id")) < F.col("_probability")).select(*[docs[c] for c in docs.columns])
+    return joined.filter(unit_hash(F.lit(SEED), F.col("doc_id")) < F.col(probability)).select(*[docs[c] for c in docs.columns])
 
 
 def duckdb_sql(temper: float = TEMPER, budget: float = BUDGET, iterations: int = ITERATIONS) -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import lean, materialize, text_chunks
+from .common import fresh, lean, materialize, text_chunks
 from .components import components, join_facts
 
 SHINGLE = 5
@@ -255,5 +255,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Of several rows with one doc_id all stay.
     """
-    classes = near_duplicates(docs, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(classes, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    gone = fresh(docs, "gone")
+    classes = near_duplicates(docs, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(classes, F.col("doc_id").cast("bigint") == F.col(gone), "left_anti")

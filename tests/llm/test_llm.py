@@ -522,6 +522,14 @@ def test_removed_passages_leave_no_match(spark):
     assert decontaminate.match_benchmark(spark.createDataFrame([tuple(r) for r in got.values()], docs.schema), bench).filter("n_hit > 0").count() == 0
 
 
+def test_long_repetitive_items_are_matched_in_one_pass(spark):
+    """Runs of a period match at every shift; an item of 90,000 words would take 4e9 steps if each word climbed all links."""
+    bench = spark.createDataFrame([(1, "a b c " * 30_000), (2, "b c"), (3, "c a b c")], "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontaminate.match_benchmark(docs_of(spark, ["x " + "c a b " * 30_000 + "y", "a b", "b c x"]), bench).collect()}
+    assert (got[0]["n_words"], got[0]["n_hit"], got[0]["items"]) == (90_002, 90_000, ["1", "2", "3"])
+    assert (got[1]["n_hit"], got[1]["items"], got[2]["n_hit"], got[2]["items"]) == (0, [], 2, ["2"])
+
+
 @pytest.mark.parametrize("group_bytes", [40, 150])
 def test_large_benchmarks_are_matched_group_by_group(spark, group_bytes):
     rng = np.random.default_rng(8)
@@ -836,5 +844,27 @@ def test_pipeline_stages_each_do_their_work(spark):
     assert [r[0] for r in out] == sorted(r["doc_id"] for r in frame.collect())
 
 
+def test_pipeline_stages_take_nulls_repeats_long_texts_and_clashing_columns(spark):
+    import corpus_pipeline
+
+    clash = ("gone", "_gone", "cell_source", "probability", "_probability", "__probability", "topic", "tokens", "items", "class_id", "root", "kept", "shard", "ids")
+    nulls = spark.createDataFrame([(None, None, None, None, None)] * 2 + [(11, None, None, "s", 0), (None, "one two", "en", None, 7)], DOCS)
+    docs = docs_of(spark, ODD).unionByName(docs_of(spark, ODD).filter("doc_id between 3 and 5")).unionByName(nulls).withColumns({c: F.lit("z") for c in clash})
+    docs = common.materialize(docs, "odd")
+    none = common.materialize(docs.filter("false"), "none")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert stage(spark, none, SF).count() == 0
+        if name == "token_output":
+            assert out.count() == docs.count() and out.filter("doc_id is null").count() == 3
+            continue
+        assert out.columns == docs.columns and {r[c] for r in out.collect() for c in clash} <= {"z"}
+        gone = {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in out.collect()}
+        assert gone == {"toxicity": set(), "near_dedup": {1, 4, 8, 11}, "decontamination": set()}.get(name, gone)
+        if name == "source_mixing":
+            kept = Counter(r["doc_id"] for r in mixing.mix(docs).filter("kept").collect())
+            assert Counter(r["doc_id"] for r in out.collect()) == kept
+
+
 def test_digest_of_items():
     assert decontaminate.items_digest(["1", "10", "2"]) == hashlib.sha256(b"1,10,2").hexdigest()
