@@ -157,6 +157,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, tem
 
     `kept` compares the probability with a number that depends on doc_id alone,
     so repeated rows share a fate and a new run keeps the same documents.
+    A source, language or topic none of whose texts has a word has probability 0.
     """
     seen = materialize(features(docs), "mixing")  # some bytes a document
     cells = seen.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
