@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkblocks.functions import scalar
-from linkblocks.operators import compare, covariance, intervals, local_search, maps, metric, signal, vector
-from linkblocks.plans import pipeline
+from linkblocks.operators import compare, covariance, diagnostics, intervals, local_search, maps, metric, signal, vector
+from linkblocks.plans import catalogue, pipeline
 from linkblocks.sources import sinks, text
 from linkblocks.sources.store import CovarianceStore
 
@@ -326,6 +326,13 @@ def test_mismatch_classes(spark):
     assert got == {0: "shifted_boundary", 50: "extra_split", 104: "shifted_boundary", 200: "shifted_boundary"}
 
 
+def test_sample_query_counts_every_pair(spark, monkeypatch):
+    rows = spark.range(200_003).select(F.lit("c1").alias("chrom"), F.lit(7).alias("boundary"), F.lit("across").alias("category"), F.col("id").alias("lo"), (F.col("id") + 1).alias("hi"), F.lit(0.5).alias("r2"))
+    monkeypatch.setattr(catalogue, "_separation", lambda s, d: rows)
+    assert [tuple(r) for r in catalogue.QUERIES["agg_17_sample"](spark, "").collect()] == [("c1", "across", 200_003, 100_001.5)]
+    assert diagnostics.sample(rows, 5).count() == 5 and diagnostics.sample(rows.limit(4), 5).count() == 4
+
+
 def test_text_sinks(spark, tmp_path):
     sinks.write_bed(blocks(spark, [(5, 10), (10, 20)]), str(tmp_path / "b"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "b")).collect()] == ["#chr\tstart\tstop", "1\t5\t10", "1\t10\t20"]
