@@ -396,6 +396,25 @@ def test_search_skips_and_stays_exact(small):
     assert total / 6 < 0.8
 
 
+def test_search_shuffles_neither_queries_nor_shards(spark, small, monkeypatch):
+    """Answers are of so many groups, however many shards there are; packs of one query or few, too."""
+    made = {}
+
+    def keep(df, name, **options):
+        made[name] = df._jdf.queryExecution().toString(), common.materialize(df, name, **options)
+        return made[name][1]
+
+    monkeypatch.setattr(search, "materialize", keep)
+    monkeypatch.setattr(search, "PACK_BYTES", 1 << 12)
+    texts = [*small, *reversed(small)]
+    docs, asked = docs_of(spark, texts).repartition(24), list(range(0, len(texts), 20))
+    queries = docs.filter(F.col("doc_id").isin(asked)).withColumnRenamed("doc_id", "query_id")
+    got = {(r["query_id"], r["rank"], r["doc_id"]) for r in search.top_k(docs, queries, 3, 1 << 12, 2).collect()}
+    assert got == brute_bm25(texts, asked, 3)
+    assert made["shards"][1].count() > 10 and made["packs"][1].count() > 1
+    assert "Exchange" not in made["found"][0] and made["found"][1].count() <= 2 * 3 * len(asked)
+
+
 def test_search_of_nothing(spark):
     none = docs_of(spark, [])
     assert search.top_k(none, none.withColumnRenamed("doc_id", "query_id")).count() == 0
