@@ -10,6 +10,8 @@ with a bigram of the template, so only those are compared.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +50,14 @@ GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_BYTES = 8 << 20
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "license_id string, text string")
+def templates(spark: SparkSession, full: bool = False) -> DataFrame:
+    """The notices, short texts and headers that op8's SQL lists; full: the whole texts in licences/ as well, by name and -full.
+
+    A run is compared at each of its steps, so a document that holds a whole
+    text of m words costs about m * m / 3 of them.
+    """
+    whole = [(f"{f.name.removesuffix('.txt')}-full", f.read_text("utf-8")) for f in sorted(resources.files(__package__).joinpath("licences").iterdir(), key=lambda f: f.name)] if full else []
+    return spark.createDataFrame(TEMPLATES + whole, "license_id string, text string")
 
 
 def normalise(text):

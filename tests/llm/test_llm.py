@@ -692,6 +692,17 @@ def test_license_scan_equals_brute_force(spark):
     assert license_scan.scan(docs_of(spark, texts), frame.filter("license_id = 'none'")).count() == 0
 
 
+def test_license_scan_finds_whole_texts(spark):
+    """With the texts of licences/, a document that is a licence is found as that licence; the list of the SQL stays as it is."""
+    known = {r["license_id"]: r["text"] for r in license_scan.templates(spark, full=True).collect()}
+    assert {r["license_id"] for r in license_scan.templates(spark).collect()} == {k for k, _ in license_scan.TEMPLATES}
+    assert {k for k in known if k.endswith("-full")} == {f"{k}-full" for k in ("apache-2.0", "bsd-3-clause", "cc0-1.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "mpl-2.0")}
+    ids = ["bsd-3-clause-full", "cc0-1.0-full", "lgpl-3.0-full"]
+    docs = docs_of(spark, [*("Some words.\n# " + known[k].upper().replace("\n", "\n# ") + "\nand code" for k in ids), "the license of this work"])
+    got = {(r["doc_id"], r["license_id"]): r["dice"] for r in license_scan.scan(docs, license_scan.templates(spark, full=True)).collect()}
+    assert [got.get((i, k)) for i, k in enumerate(ids)] == [1, 1, 1] and not any(d == 3 for d, _ in got)
+
+
 def test_license_scan_is_native(spark):
     plan = license_scan.scan(docs_of(spark, ["a"]), license_scan.templates(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
