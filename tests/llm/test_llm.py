@@ -415,6 +415,35 @@ def test_search_shuffles_neither_queries_nor_shards(spark, small, monkeypatch):
     assert "Exchange" not in made["found"][0] and made["found"][1].count() <= 2 * 3 * len(asked)
 
 
+def test_search_passes_a_shard_with_many_queries_at_once(monkeypatch):
+    """Queries of a pack go through a shard in batches, which leaves their answers as they are."""
+    rng, passes, one_pass = np.random.default_rng(5), [], search.Shard._pass
+    monkeypatch.setattr(search.Shard, "_pass", lambda self, *a: passes.append(1) or one_pass(self, *a))
+    texts = [" ".join(f"t{i % 3}w{x}" for x in rng.zipf(1.2, 1 + i % 90) % 400) for i in range(1500)] + ["t0w1"] * 20 + ["", "alone"]
+    word, n, row, length = search.terms(raw := np.frombuffer("".join(texts).encode(), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+    vocabulary, df = np.unique(word, return_counts=True)
+    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+    idf = dict(zip(vocabulary.tolist(), np.log(1 + (len(texts) - df + 0.5) / (df + 0.5)).tolist(), strict=True))
+    asked = [*range(200), 1500, 1521]
+    terms = [word[bounds[q] : bounds[q + 1]] for q in asked]
+    weights = [n[bounds[q] : bounds[q + 1]] * [idf[int(t)] for t in term] for q, term in zip(asked, terms, strict=True)]
+    terms, weights, asked = [*terms, np.array([1, 2], np.uint64)], [*weights, np.ones(2)], [*asked, 9999]  # words that no document has
+    pack, impact = search.Pack(search.Pack.dump(asked, terms, weights), 10), n * 2.2 / (n + 1.2 * (0.25 + 0.75 * (length / length.mean())[row]))
+    for a, b in ((0, 900), (900, len(texts))):
+        own = slice(bounds[a], bounds[b])
+        pack.visit(search.Shard(search.Shard.dump(np.arange(a, b), word[own], n[own], row[own] - a, length[a:b]), length.mean()))
+    got = pack.answers().to_pandas().groupby("query_id")
+    assert len(raw) and set(got.groups) == set(asked) - {9999}
+    for q, term, weight in zip(asked[:-1], terms, weights, strict=False):
+        at = np.searchsorted(term, word)
+        of = np.where(term[np.minimum(at, len(term) - 1)] == word, weight[np.minimum(at, len(term) - 1)], 0)
+        scores = np.round(np.bincount(row, of * impact, len(texts)), 6)
+        want = [i for i in np.lexsort((np.arange(len(texts)), -scores))[:10].tolist() if scores[i] > 0]
+        found = got.get_group(q).sort_values(["score", "doc_id"], ascending=[False, True])
+        assert found["doc_id"].tolist() == want and found["score"].tolist() == pytest.approx(scores[want].tolist(), abs=2e-6)
+    assert len(passes) < len(asked) / 4
+
+
 def test_search_of_nothing(spark):
     none = docs_of(spark, [])
     assert search.top_k(none, none.withColumnRenamed("doc_id", "query_id")).count() == 0
