@@ -444,6 +444,17 @@ def test_search_passes_a_shard_with_many_queries_at_once(monkeypatch):
     assert len(passes) < len(asked) / 4
 
 
+def test_search_bounds_the_matrix_of_a_shard_of_long_texts():
+    """A few documents of many words: every word is frequent, and a batch's weights are cells of queries by rows."""
+    word = np.sort(words.mix(np.arange(1, 20_001).astype(np.uint64)))
+    shard = search.Shard(search.Shard.dump(np.arange(2), np.tile(word, 2), np.repeat([1, 3], len(word)), np.repeat([0, 1], len(word)), np.array([20_000, 60_000])), 40_000.0)
+    assert len(shard.rows) <= 4096
+    best = search.Best(1)
+    shard.search(word, np.ones(len(word)), best)
+    norm = 1.2 * (0.25 + 0.75 * 1.5)
+    assert best.ids.tolist() == [1] and best.scores == pytest.approx([20_000 * 3 * 2.2 / (3 + norm)])
+
+
 def test_search_of_nothing(spark):
     none = docs_of(spark, [])
     assert search.top_k(none, none.withColumnRenamed("doc_id", "query_id")).count() == 0
